@@ -5,7 +5,8 @@ from __future__ import annotations
 from importlib import import_module
 
 _QUERIES = {
-    "op1_secret_scan": "secrets", "op2_packing": "packing",
+    "op1_secret_scan": "secrets", "op2_packing": "packing", "op4_decontamination": "decontaminate", "op7_toxicity": "toxicity",
+    "op9_minhash": "neardup",
 }
 
 
@@ -14,4 +15,6 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    from .decontaminate import OP4_SQL
+
+    return {"op4_decontamination": OP4_SQL}
