@@ -5,16 +5,20 @@ from __future__ import annotations
 from importlib import import_module
 
 _QUERIES = {
-    "op1_secret_scan": "secrets", "op2_packing": "packing", "op4_decontamination": "decontaminate", "op7_toxicity": "toxicity",
-    "op9_minhash": "neardup",
+    "op1_secret_scan": "secrets", "op2_packing": "packing", "op3_quality": "quality", "op4_decontamination": "decontaminate",
+    "op7_toxicity": "toxicity", "op9_minhash": "neardup", "op10_langid": "langid",
 }
 
 
 def queries() -> dict:
-    return {name: getattr(import_module(f"{__package__}.{module}"), name) for name, module in _QUERIES.items()}
+    from corpus_pipeline import run
+
+    return {"pipeline": run} | {name: getattr(import_module(f"{__package__}.{module}"), name) for name, module in _QUERIES.items()}
 
 
 def oracle_sql() -> dict[str, str]:
+    from corpus_pipeline import ORACLE_SQL
+
     from .decontaminate import OP4_SQL
 
-    return {"op4_decontamination": OP4_SQL}
+    return {"op4_decontamination": OP4_SQL} | ({"pipeline": ORACLE_SQL} if ORACLE_SQL else {})
