@@ -6,7 +6,7 @@ from importlib import import_module
 
 _QUERIES = {
     "op1_secret_scan": "secrets", "op2_packing": "packing", "op3_quality": "quality", "op4_decontamination": "decontaminate",
-    "op7_toxicity": "toxicity", "op9_minhash": "neardup", "op10_langid": "langid",
+    "op5_ann": "ann", "op6_suffix_dedup": "substrings", "op7_toxicity": "toxicity", "op8_lm": "lm", "op9_minhash": "neardup", "op10_langid": "langid",
 }
 
 
