@@ -1,0 +1,6 @@
+"""Queries by area; importing registers them."""
+
+from . import content, log, service
+from .registry import ORACLES, QUERIES
+
+__all__ = ["ORACLES", "QUERIES", "content", "log", "service"]
