@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from .common import fold, materialise, table
 from .textbuf import SPACE, word_hashes
 
-CLASSES = MEMBERS = 64
+CLASSES = MEMBERS = 40
 #: Most frequent tokens whose counts are sent to every task.
 HEAD = 200_000
 CLASS_ROWS, WORD_ROWS = 1 << 13, 1 << 14

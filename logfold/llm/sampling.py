@@ -9,9 +9,14 @@ from pyspark.sql import functions as F
 def labelled_sample(docs: DataFrame, labels: DataFrame, most: int, id_col: str, text_col: str, label_col: str) -> DataFrame:
     """(label, text) of at most `most` rows of each label, first in hash order; labels must hold (id, label).
 
-    Null ids and labels are left out, a document with several labels has the largest, and of several rows with one id one is taken."""
+    Null ids and labels are left out, a document with several labels has the largest, and of several rows with one id one is taken.
+    A frequent label is cut by hash to about four times the bound before it is ranked, so its rows don't meet in one task."""
     known = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("id")).agg(F.max(label_col).alias("label"))
-    first = Window.partitionBy("label").orderBy(F.xxhash64(F.col("id").cast("string")), "id")
-    few = known.withColumn("n", F.row_number().over(first)).where(F.col("n") <= most).select("id", "label")
+    sizes = known.groupBy("label").agg(F.count("*").alias("n"))
+    order = F.xxhash64(F.col("id").cast("string"))
+    part = F.pmod(order, F.lit(1 << 30)) / float(1 << 30)
+    near = known.join(sizes, "label").where(part * F.col("n") < 4 * most + 1000)
+    first = Window.partitionBy("label").orderBy(part, "id")
+    few = near.withColumn("turn", F.row_number().over(first)).where(F.col("turn") <= most).select("id", "label")
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).where("text is not null")
     return rows.join(F.broadcast(few), "id").dropDuplicates(["id"]).select("label", "text")

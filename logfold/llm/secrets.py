@@ -58,7 +58,7 @@ def marginal_cost(context: str, candidate: str) -> float:
     return (len(c.compress(around + candidate.encode())) - len(c.compress(around))) / max(1, len(candidate))
 
 
-def find(text: str | None, reach: int = 64, around: int = 256, least_cost: float = 0.55) -> list[tuple[str, int, int, float]]:
+def find(text: str | None, reach: int = 64, around: int = 256, least_cost: float = 0.7) -> list[tuple[str, int, int, float]]:
     """(kind, start, end, cost) in code points, by start and then kind; base kinds have cost 1."""
     if not text:
         return []

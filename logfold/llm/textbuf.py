@@ -83,7 +83,7 @@ def runs(member: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray
     edge = np.empty(len(member) + 1, bool)
     edge[0], edge[-1] = member[0], member[-1]
     np.not_equal(member[1:], member[:-1], out=edge[1:-1])
-    inner = bounds[(bounds > 0) & (bounds < len(member))]
+    inner = np.unique(bounds[(bounds > 0) & (bounds < len(member))])
     both = inner[member[inner] & member[inner - 1]]
     at = np.flatnonzero(edge)
     if len(both):
