@@ -66,3 +66,27 @@ def recovered(certs: DataFrame) -> DataFrame:
     n = ok.groupBy("repo_id").agg(F.count("*").alias("n_valid"))
     common = certs.join(ok, KEYS, "left_semi").groupBy("repo_id", "digest", "generation").agg(F.count_distinct("authority").alias("n")).join(n, "repo_id").where(F.col("n") == F.col("n_valid"))
     return common.groupBy("repo_id").agg(F.max("generation").alias("generation"), F.max_by("digest", "generation").alias("head"), F.max("n_valid").alias("n_valid"), (F.max("n_valid") == 1).alias("survivor_only"))
+
+
+def linked(entries: DataFrame) -> DataFrame:
+    """Certificates of entries (repo_id, generation, tx): each digest covers its parent's, generation and transaction; the first is an anchor.
+
+    A digest needs the one before it, so a repository's entries stream in order through one task with one digest held."""
+    import hashlib
+
+    rows = entries.select("repo_id", "generation", "tx").repartition("repo_id").sortWithinPartitions("repo_id", "generation")
+    schema = rows.schema.simpleString().removeprefix("struct<").removesuffix(">").replace(":", " ").replace(",", ", ")
+
+    def run(frames):
+        repo, digest = None, None
+        for f in frames:
+            made, before = [], []
+            for r, g, tx in zip(f["repo_id"], f["generation"], f["tx"], strict=True):
+                if r != repo:
+                    repo, digest = r, None
+                before.append(digest)
+                digest = hashlib.sha256(f'{{"previous":"{digest or ""}","generation":{g},"transaction":"{tx}"}}'.encode()).hexdigest()
+                made.append(digest)
+            yield f.assign(digest=made, previous=before, anchor=[p is None for p in before])
+
+    return rows.mapInPandas(run, f"{schema}, digest string, previous string, anchor boolean")

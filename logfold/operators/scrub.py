@@ -56,3 +56,11 @@ def first_of(found: DataFrame, keys: list[str]) -> DataFrame:
     """The first issue of each key by check order and kind."""
     turn = F.row_number().over(Window.partitionBy(*keys).orderBy("check_order", "kind"))
     return found.withColumn("_turn", turn).where("_turn = 1").drop("_turn")
+
+
+def audit(status: DataFrame, plan: DataFrame) -> DataFrame:
+    """One content-named record a chain, also where nothing was copied: what a repair writes to both replicas."""
+    n = plan.groupBy("repo_id").agg(F.count("*").alias("n_copied"))
+    out = status.join(n, "repo_id", "left").withColumn("n_copied", F.coalesce("n_copied", F.lit(0)))
+    body = F.format_string('{"repository":"%s","status":"%s","copied":%d}', F.col("repo_id").cast("string"), "status", "n_copied")
+    return out.withColumn("body", body).withColumn("name", F.concat(F.sha2("body", 256), F.lit(".json")))

@@ -114,3 +114,23 @@ def restore_report(spark, d):
     return u.groupBy("repo_id").agg(F.count("*").alias("n_commits"), ident.milliseconds(span).alias("span_ms"), F.round(F.count("*") / (span.cast("double") / 1_000_000), 9).alias("commits_per_second"), F.max("generation").alias("generation"), F.count_distinct("ref").alias("n_refs"))
 
 
+
+
+@query(f"""WITH RECURSIVE e AS (SELECT conv_id AS repo_id, turn AS generation, sha256(text) AS tx, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS n FROM conversations),
+    l(repo_id, generation, tx, n, digest, previous) AS (SELECT repo_id, generation, tx, n, sha256('{{"previous":"","generation":' || generation || ',"transaction":"' || tx || '"}}'), CAST(NULL AS VARCHAR) FROM e WHERE n = 1
+        UNION ALL SELECT e.repo_id, e.generation, e.tx, e.n, sha256('{{"previous":"' || l.digest || '","generation":' || e.generation || ',"transaction":"' || e.tx || '"}}'), l.digest FROM e JOIN l ON e.repo_id = l.repo_id AND e.n = l.n + 1)
+    SELECT repo_id, generation, tx, digest, previous, n = 1 AS anchor FROM l""")
+def certificate_link(spark, d):
+    c = fx.table(spark, d, "conversations")
+    return chain.linked(c.select(F.col("conv_id").alias("repo_id"), F.col("turn").alias("generation"), ident.sha(F.col("text")).alias("tx")))
+
+
+@query(f"""{REPORT}, st AS (SELECT repo_id, CASE WHEN ok AND NOT same THEN 'refused_divergent' WHEN ok THEN 'nothing' WHEN coalesce(a_healthy, false) OR coalesce(b_healthy, false) THEN 'copy' ELSE 'refused_unverified' END AS status FROM pairs),
+    jobs AS (SELECT repo_id, CASE WHEN a_healthy THEN 'primary' ELSE 'secondary' END AS source, CASE WHEN a_healthy THEN 'secondary' ELSE 'primary' END AS target FROM pairs WHERE NOT ok AND (a_healthy OR b_healthy)),
+    cp AS (SELECT j.repo_id, count(*) AS n FROM jobs j JOIN replicas s ON s.authority = source AND s.repo_id = j.repo_id WHERE NOT EXISTS (SELECT 1 FROM replicas t WHERE t.authority = target AND t.repo_id = j.repo_id AND t.digest = s.digest AND t.previous IS NOT DISTINCT FROM s.previous) GROUP BY 1),
+    b AS (SELECT repo_id, status, coalesce(n, 0) AS n_copied, '{{"repository":"' || repo_id || '","status":"' || status || '","copied":' || coalesce(n, 0) || '}}' AS body FROM st LEFT JOIN cp USING (repo_id))
+    SELECT *, sha256(body) || '.json' AS name FROM b""")
+def repair_audit(spark, d):
+    certs = both(spark, d)
+    reports = scrub.report(certs)
+    return scrub.audit(reconcile.repair_status(reports), scrub.repair_plan(certs, reports))
