@@ -146,20 +146,23 @@ class RunLengthIndex:
         return at[by], to[by]
 
     def _suffixes(self, ends: np.ndarray) -> np.ndarray:
-        """The suffix array by prefix doubling; each separator is a symbol of its own, below all bytes."""
+        """The suffix array by prefix doubling from seven symbols on; separators are below all bytes."""
         n = len(self.text)
-        rank = self.text.astype(np.int64) + len(ends)
-        rank[ends] = np.arange(len(ends))
-        width = 1
+        symbol = self.text.astype(np.int64) + 1
+        symbol[ends] = 0
+        key, width = symbol << 54, 7
+        for k in range(1, min(width, n)):
+            key[:-k] |= symbol[k:] << (54 - 9 * k)
         while True:
-            key = rank * (n + 512)
-            key[:-width] += rank[width:] + 1
-            order = np.argsort(key, kind="stable")
-            new = np.append(0, np.cumsum(key[order][1:] != key[order][:-1]))
-            rank = np.empty(n, np.int64)
-            rank[order] = new
+            order = np.argsort(key)
+            by = key[order]
+            new = np.append(0, np.cumsum(by[1:] != by[:-1]))
             if new[-1] == n - 1:
                 return order
+            rank = np.empty(n, np.int64)
+            rank[order] = new
+            key = rank * (n + 1)
+            key[:-width] += rank[width:] + 1
             width *= 2
 
     def neighbours(self, position: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
