@@ -3,7 +3,8 @@
 Confirmed toxic rows are the positives; a bounded, hash-ordered sample of all documents is the unlabelled side. With
 the class prior p of the labelled rows, the risk is p R+(f, 1) + max(0, R(f, 0 | unlabelled) - p R+(f, 0)); where the
 second term would be negative, its gradient is turned, so that the model can't fit the unlabelled side as negative.
-Features are words, their beginnings and endings, present or not; those most unlike between the two sides are kept.
+Features are words, their beginnings and endings, each at three levels of how often a text has it; those most unlike
+between the two sides are kept.
 
 Null and empty texts have no features and score as the model's bias does. Whole texts of any length are scored.
 Repeated rows get equal scores; repeated labels of a document count as toxic if one does; null labels are ignored.
@@ -13,7 +14,6 @@ Without any confirmed row every score is 0. Other columns pass through untouched
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -25,7 +25,11 @@ from .common import fold, table
 from .textbuf import LOWER, raw, run_hashes, runs, segments
 
 BITS = 22
-MOST_POSITIVE, MOST_UNLABELLED, MOST_COLUMNS = 3000, 6000, 512
+MOST_POSITIVE, MOST_UNLABELLED, MOST_COLUMNS = 3000, 6000, 256
+#: A feature counts once more where a text has it so often.
+LEVELS = (1, 2, 4)
+#: Features kept: in this share of the positives, and so many standard errors above their share of the unlabelled.
+LEAST_SHARE, LEAST_Z = 0.01, 6.0
 _LETTERS = np.zeros(256, bool)
 _LETTERS[65:91] = _LETTERS[97:123] = _LETTERS[128:] = True
 #: Bytes of the beginnings and endings that count besides whole words.
@@ -51,32 +55,43 @@ def feature_hashes(texts: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
 
 def _features_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
-        got = [set() for _ in range(b.num_rows)]
+        got: list[list[np.ndarray]] = [[] for _ in range(b.num_rows)]
         for owner, f in feature_hashes(b.column(1)):
-            for d in np.unique(owner).tolist():
-                got[d].update(np.unique(f[owner == d]).tolist())
-        yield pa.RecordBatch.from_arrays([b.column(0), pa.array([np.array(sorted(x), np.uint32).tobytes() for x in got], pa.binary())], names=["positive", "features"])
+            order = np.argsort(owner, kind="stable")
+            owner, f = owner[order], f[order]
+            cut = np.flatnonzero(np.append(True, owner[1:] != owner[:-1]))[: len(owner)]
+            for d, part in zip(owner[cut].tolist(), np.split(f, cut[1:]), strict=False):
+                got[d].append(part)
+        rows = []
+        for parts in got:
+            u, n = np.unique(np.concatenate(parts) if parts else np.zeros(0, np.int64), return_counts=True)
+            rows.append(np.concatenate([u[n >= least] | (k << BITS) for k, least in enumerate(LEVELS)]).astype(np.uint32).tobytes())
+        yield pa.RecordBatch.from_arrays([b.column(0), pa.array(rows, pa.binary())], names=["positive", "features"])
 
 
-@dataclass
 class Model:
-    """column: of each hashed feature, or -1; weight: of each column."""
+    """ids: sorted hashed features; weights: of each at each level; bias."""
 
-    column: np.ndarray
-    weight: np.ndarray
-    bias: float
+    def __init__(self, ids: np.ndarray, weights: np.ndarray, bias: float):
+        self.ids, self.weights, self.bias, self.known = ids, weights, bias, None
+
+    def __getstate__(self) -> dict:
+        return self.__dict__ | {"known": None}
 
     def logits(self, texts: pa.Array) -> np.ndarray:
-        out = np.full(len(texts), self.bias)
-        k = len(self.weight)
+        out, k = np.full(len(texts), self.bias), len(self.ids)
         if not k:
             return out
+        if self.known is None:
+            self.known = np.zeros(1 << BITS, bool)
+            self.known[self.ids] = True
         seen = []
         for owner, f in feature_hashes(texts):
-            c = self.column[f]
-            seen.append(np.unique(owner[c >= 0] * k + c[c >= 0]))
-        pairs = np.unique(np.concatenate(seen)) if seen else np.zeros(0, np.int64)
-        return out + np.bincount(pairs // k, self.weight[pairs % k], len(texts))
+            own = self.known[f]
+            seen.append(owner[own] * k + np.searchsorted(self.ids, f[own]))
+        pairs, n = np.unique(np.concatenate(seen) if seen else np.zeros(0, np.int64), return_counts=True)
+        value = sum(np.where(n >= least, self.weights[pairs % k, j], 0.0) for j, least in enumerate(LEVELS))
+        return out + np.bincount(pairs // k, value, len(texts))
 
 
 def nnpu_fit(p: np.ndarray, u: np.ndarray, prior: float, steps: int = 600, rate: float = 0.02, decay: float = 2e-3, beta: float = 0.0) -> tuple[np.ndarray, float]:
@@ -101,26 +116,32 @@ def nnpu_fit(p: np.ndarray, u: np.ndarray, prior: float, steps: int = 600, rate:
 
 
 def train(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float) -> Model:
-    """A model from the hashed features of each positive and each unlabelled row."""
-    column = np.full(1 << BITS, -1, np.int16)
+    """A model from the hashed features, with their levels, of each positive and each unlabelled row."""
     if not positive or not unlabelled:
-        return Model(column, np.zeros(0), -np.inf)
-    count = lambda rows: np.bincount(np.concatenate(rows).astype(np.int64), minlength=1 << BITS)
+        return Model(np.zeros(0, np.int64), np.zeros((0, len(LEVELS))), -np.inf)
+    count = lambda rows: np.bincount(np.concatenate(rows).astype(np.int64), minlength=len(LEVELS) << BITS)
     cp, cu = count(positive), count(unlabelled)
-    a, b = (cp + 0.5) / (len(positive) + 1), (cu + 0.5) / (len(unlabelled) + 1)
-    gain = np.where(cp >= 3, a * np.log(a / b), 0)
+    some = np.flatnonzero(cp >= max(4, LEAST_SHARE * len(positive)))
+    a, b = (cp[some] + 0.5) / (len(positive) + 1), (cu[some] + 0.5) / (len(unlabelled) + 1)
+    sure = (a - b) / np.sqrt(b * (1 - b) / len(positive)) >= LEAST_Z
+    gain = np.where(sure, a * np.log(a / b), 0)
     best = np.argsort(-gain, kind="stable")[:MOST_COLUMNS]
-    best = best[gain[best] > 1e-4]
-    column[best] = np.arange(len(best), dtype=np.int16)
+    chosen = some[best[gain[best] > 1e-4]]
+    column = np.full(len(LEVELS) << BITS, -1, np.int16)
+    column[chosen] = np.arange(len(chosen), dtype=np.int16)
 
     def matrix(rows: list[np.ndarray]) -> np.ndarray:
-        x = np.zeros((len(rows), len(best)), np.float32)
+        x = np.zeros((len(rows), len(chosen)), np.float32)
         for i, r in enumerate(rows):
             c = column[r]
             x[i, c[c >= 0]] = 1
         return x
 
-    return Model(column, *nnpu_fit(matrix(positive), matrix(unlabelled), prior))
+    w, bias = nnpu_fit(matrix(positive), matrix(unlabelled), prior)
+    ids = np.unique(chosen & ((1 << BITS) - 1))
+    weights = np.zeros((len(ids), len(LEVELS)))
+    weights[np.searchsorted(ids, chosen & ((1 << BITS) - 1)), chosen >> BITS] = w
+    return Model(ids, weights, bias)
 
 
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", most_positive: int = MOST_POSITIVE, most_unlabelled: int = MOST_UNLABELLED) -> Model:
