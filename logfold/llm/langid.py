@@ -159,23 +159,24 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
     return Hierarchy(x, np.array([r[0] for r in got], object))
 
 
-def _predict(model, at: int):
+def _predict(model, at: int, out: tuple[str, str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = model.value
         for b in batches:
             for i in range(0, b.num_rows, 512):
                 part = b.slice(i, 512)
                 names, conf = m.predict(part.column(at))
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(names.tolist(), pa.string()), pa.array(conf, pa.float64())], names=[*b.schema.names, "lang__", "score__"])
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(names.tolist(), pa.string()), pa.array(conf, pa.float64())], names=[*b.schema.names, *out])
 
     return run
 
 
 def identify(df: DataFrame, model: Hierarchy, text_col: str = "text", lang_out: str = "lang_pred", score_out: str = "score") -> DataFrame:
-    """df with the language of each text and a score."""
+    """df with the language of each text and a score; columns of these names are replaced."""
+    df = df.drop(lang_out, score_out)
     shared = df.sparkSession.sparkContext.broadcast(model)
-    schema = StructType([*df.schema.fields, StructField("lang__", StringType()), StructField("score__", DoubleType())])
-    return df.mapInArrow(_predict(shared, df.columns.index(text_col)), schema).withColumnsRenamed({"lang__": lang_out, "score__": score_out})
+    schema = StructType([*df.schema.fields, StructField(lang_out, StringType()), StructField(score_out, DoubleType())])
+    return df.mapInArrow(_predict(shared, df.columns.index(text_col), (lang_out, score_out)), schema)
 
 
 def op10_langid(spark, sf_dir: str) -> DataFrame:

@@ -162,22 +162,23 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     return train(bags, np.array([r[0] for r in got]), ones / n if n else 0.5)
 
 
-def _score(model, at: int):
+def _score(model, at: int, out_col: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = model.value
         for b in batches:
             for i in range(0, b.num_rows, 1024):
                 part = b.slice(i, 1024)
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(m.scores(part.column(at)), pa.float64())], names=[*b.schema.names, "score__"])
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(m.scores(part.column(at)), pa.float64())], names=[*b.schema.names, out_col])
 
     return run
 
 
 def score(df: DataFrame, model: Attention, text_col: str = "text", out_col: str = "score") -> DataFrame:
-    """df with the probability that each text has label 1."""
+    """df with the probability that each text has label 1; a column named as out_col is replaced."""
+    df = df.drop(out_col)
     shared = df.sparkSession.sparkContext.broadcast(model)
-    schema = StructType([*df.schema.fields, StructField("score__", DoubleType())])
-    return df.mapInArrow(_score(shared, df.columns.index(text_col)), schema).withColumnRenamed("score__", out_col)
+    schema = StructType([*df.schema.fields, StructField(out_col, DoubleType())])
+    return df.mapInArrow(_score(shared, df.columns.index(text_col), out_col), schema)
 
 
 def op3_quality(spark, sf_dir: str) -> DataFrame:

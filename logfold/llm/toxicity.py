@@ -165,21 +165,22 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     return train(sides[True], sides[False], ones / n)
 
 
-def _score(model, batch_text: int):
+def _score(model, at: int, out_col: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = model.value
         for b in batches:
-            z = m.logits(b.column(batch_text))
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(1 / (1 + np.exp(-np.clip(z, -700, 700))), pa.float64())], names=[*b.schema.names, "score__"])
+            z = m.logits(b.column(at))
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(1 / (1 + np.exp(-np.clip(z, -700, 700))), pa.float64())], names=[*b.schema.names, out_col])
 
     return run
 
 
 def score(df: DataFrame, model: Model, text_col: str = "text", out_col: str = "score") -> DataFrame:
-    """df with the probability that each text is toxic."""
+    """df with the probability that each text is toxic; a column named as out_col is replaced."""
+    df = df.drop(out_col)
     shared = df.sparkSession.sparkContext.broadcast(model)
-    schema = StructType([*df.schema.fields, StructField("score__", DoubleType())])
-    return df.mapInArrow(_score(shared, df.columns.index(text_col)), schema).withColumnRenamed("score__", out_col)
+    schema = StructType([*df.schema.fields, StructField(out_col, DoubleType())])
+    return df.mapInArrow(_score(shared, df.columns.index(text_col), out_col), schema)
 
 
 def training_labels(labels: DataFrame, modulus: int, held: int) -> DataFrame:
