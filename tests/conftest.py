@@ -3,6 +3,7 @@ import sys
 import tempfile
 
 import duckdb
+import pandas as pd
 import pytest
 from pyspark.sql import SparkSession
 
@@ -32,8 +33,15 @@ def duck():
     return con
 
 
+def text(v):
+    if v is None or v is pd.NA or v != v:
+        return None
+    if isinstance(v, float):
+        return str(int(v)) if v.is_integer() and abs(v) < 2**53 else f"{v:.9g}"
+    return str(v)
+
+
 def rows_of(frame, columns):
-    text = lambda v: None if v is None or v != v else f"{v:.9g}" if isinstance(v, float) else str(v)
     return sorted((tuple(text(v) for v in r) for r in frame[columns].astype(object).values.tolist()), key=str)
 
 
