@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
-from .common import fold, table
+from .common import fold, materialise, table
 from .textbuf import LOWER, raw, run_hashes, runs, segments
 
 BITS = 22
@@ -69,6 +69,24 @@ def _features_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([b.column(0), pa.array(rows, pa.binary())], names=["positive", "features"])
 
 
+def _flat(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        if b.num_rows:
+            yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(b"".join(b.column(1).to_pylist()), np.uint32).astype(np.int64))], names=["f"])
+
+
+def _among(often):
+    """Keeps the features that enough positives have; only these come to the driver."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = often.value
+        for b in batches:
+            rows = [np.frombuffer(x, np.uint32) for x in b.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([x[np.isin(x, known)].tobytes() for x in rows], pa.binary())], names=["positive", "features"])
+
+    return run
+
+
 class Model:
     """ids: sorted hashed features; weights: of each at each level; bias."""
 
@@ -119,22 +137,24 @@ def train(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float
     """A model from the hashed features, with their levels, of each positive and each unlabelled row."""
     if not positive or not unlabelled:
         return Model(np.zeros(0, np.int64), np.zeros((0, len(LEVELS))), -np.inf)
-    count = lambda rows: np.bincount(np.concatenate(rows).astype(np.int64), minlength=len(LEVELS) << BITS)
-    cp, cu = count(positive), count(unlabelled)
-    some = np.flatnonzero(cp >= max(4, LEAST_SHARE * len(positive)))
-    a, b = (cp[some] + 0.5) / (len(positive) + 1), (cu[some] + 0.5) / (len(unlabelled) + 1)
+    some, cp = np.unique(np.concatenate(positive), return_counts=True)
+    often = cp >= max(4, LEAST_SHARE * len(positive))
+    some, cp, cu = some[often].astype(np.int64), cp[often], np.zeros(often.sum(), np.int64)
+    for r in unlabelled if len(some) else ():
+        at = np.minimum(np.searchsorted(some, r), len(some) - 1)
+        cu[at[some[at] == r]] += 1
+    a, b = (cp + 0.5) / (len(positive) + 1), (cu + 0.5) / (len(unlabelled) + 1)
     sure = (a - b) / np.sqrt(b * (1 - b) / len(positive)) >= LEAST_Z
     gain = np.where(sure, a * np.log(a / b), 0)
     best = np.argsort(-gain, kind="stable")[:MOST_COLUMNS]
     chosen = some[best[gain[best] > 1e-4]]
-    column = np.full(len(LEVELS) << BITS, -1, np.int16)
-    column[chosen] = np.arange(len(chosen), dtype=np.int16)
+    by = np.argsort(chosen)
 
     def matrix(rows: list[np.ndarray]) -> np.ndarray:
         x = np.zeros((len(rows), len(chosen)), np.float32)
-        for i, r in enumerate(rows):
-            c = column[r]
-            x[i, c[c >= 0]] = 1
+        for i, r in enumerate(rows if len(chosen) else ()):
+            at = np.minimum(np.searchsorted(chosen, r, sorter=by), len(chosen) - 1)
+            x[i, by[at][chosen[by[at]] == r]] = 1
         return x
 
     w, bias = nnpu_fit(matrix(positive), matrix(unlabelled), prior)
@@ -158,10 +178,15 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     few = plain.select("id").where("id is not null").groupBy("id").agg(F.lit(1)).select("id").orderBy(order, "id").limit(most_unlabelled)
     wanted = known.withColumn("positive", F.lit(True)).unionByName(few.withColumn("positive", F.lit(False)))
     rows = plain.join(F.broadcast(wanted), "id").dropDuplicates(["id", "positive"]).select("positive", "text")
-    got = rows.mapInArrow(_features_of, "positive boolean, features binary").collect()
+    features = materialise(rows.mapInArrow(_features_of, "positive boolean, features binary"), "features")
+    positives = features.where("positive")
+    least = max(4, LEAST_SHARE * positives.count())
+    often = positives.mapInArrow(_flat, "f long").groupBy("f").agg(F.count("*").alias("n")).where(F.col("n") >= least).select("f").toArrow()
+    shared = docs.sparkSession.sparkContext.broadcast(np.sort(often.column(0).to_numpy()))
+    got = features.mapInArrow(_among(shared), "positive boolean, features binary").toArrow()
     sides = {True: [], False: []}
-    for y, f in got:
-        sides[y].append(np.frombuffer(f, np.uint32))
+    for y, f in zip(got.column(0).to_pylist(), (f for part in got.column(1).chunks for f in part), strict=True):
+        sides[y].append(np.frombuffer(f.as_buffer(), np.uint32))
     return train(sides[True], sides[False], ones / n)
 
 
