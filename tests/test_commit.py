@@ -1,3 +1,4 @@
+import json
 import random
 import uuid
 from concurrent.futures import ThreadPoolExecutor
@@ -8,6 +9,7 @@ from logfold.operators.lineage import shared_dir
 from logfold.sources import files, hadoop
 from logfold.streaming import windows
 from logfold.streaming.commit import Conflict, LogTable, replayed
+from tests.conftest import SF
 
 SCHEMA = "k string, v long"
 
@@ -98,3 +100,21 @@ def test_files_round_trip_and_bad_archives(spark):
     hadoop.create(spark, f"{root}/certificates/r/x.cert", b"x")
     with pytest.raises(Exception, match="bad certificate"):
         files.scan_certificates(spark, root).collect()
+
+
+def test_scan_log_files_takes_every_update(spark, duck):
+    from logfold.plans.service import scan_log_files
+
+    got = scan_log_files(spark, SF).groupBy("repo_id", "status").count().collect()
+    want = duck.sql("SELECT event_type, count(*) FROM events GROUP BY 1").fetchall()
+    assert {(r.repo_id, r.status): r["count"] for r in got} == {(t, "ok"): n for t, n in want}
+
+
+def test_manifest_and_certificate_list_every_entry(spark):
+    u = spark.createDataFrame([(r, i, "refs/heads/x", "0" * 40, "a" * 40) for r in "ab" for i in range(1, 13)], "repo_id string, generation long, ref string, old_oid string, new_oid string")
+    root = files.write_sample(u, spark)
+    entries = {(r.repo_id, r.file): r for r in files.scan_entries(spark, root).collect()}
+    certs = {r.repo_id: json.loads(r.content) for r in files.scan_certificates(spark, root).collect()}
+    for m in files.scan_manifests(spark, root).collect():
+        assert [e.generation for e in m.entries] == list(range(1, 13)) and certs[m.repository_id] == {"generation": 12, "entries": [e.transaction_id for e in m.entries]}
+        assert all(entries[m.repository_id, e.file].payload_bytes == e.payload_bytes for e in m.entries)
