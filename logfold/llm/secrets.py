@@ -3,6 +3,9 @@
 Method: every long mixed token near a sensitive word is a candidate. Its cost is the growth of the zstandard
 frame when it is appended to the text around it, with a dictionary of code identifiers as prior content. Words,
 identifiers and repeated strings cost little; keys cost nearly what random characters do, and are reported.
+Candidates have any length: a long one is weighed in pieces of PIECE characters and reported from the first costly
+piece to the last. A candidate that only a few separators part from one near a sensitive word counts as near it too,
+as the parts of a token and the lines of a key block do.
 
 Null and empty texts have no findings; texts of any length are scanned whole; rows are independent, so repeated
 rows and ties give equal results; other columns pass through untouched, whatever their names.
@@ -26,7 +29,10 @@ HEX = re.compile(r"[0-9a-f]{32,}")
 KINDS = ("assign", "access", "hex", "novel")
 
 HINTS = re.compile(r"(?:key|secret|token|passw|passphrase|credential|bearer|authorization|signature|private|session|cookie|salt)", re.I | re.A)
-CANDIDATE = re.compile(r"(?<![A-Za-z0-9+/_=-])(?=[A-Za-z+/_=-]{0,200}[0-9])(?=[0-9+/_=-]{0,200}[A-Za-z])[A-Za-z0-9+/_=-]{20,200}(?![A-Za-z0-9+/_=-])")
+CANDIDATE = re.compile(r"(?<![A-Za-z0-9+/_=-])(?=[A-Za-z+/_=-]*[0-9])(?=[0-9+/_=-]*[A-Za-z])[A-Za-z0-9+/_=-]{20,}")
+#: What may part two candidates of one secret, and the short last line of a key block.
+PARTED, LAST_LINE = re.compile(r"[^A-Za-z0-9]{0,8}"), re.compile(r"\s{1,8}[A-Za-z0-9+/=]{1,19}(?=\s{1,8}-----END)")
+PIECE, LEAST = 200, 20
 #: Prior content for the compressor: frequent identifiers of code and configuration.
 IDENTIFIERS = " ".join("""
 abstract access account action address alias allow api append application args array assert async attribute auth
@@ -58,6 +64,13 @@ def marginal_cost(context: str, candidate: str) -> float:
     return (len(c.compress(around + candidate.encode())) - len(c.compress(around))) / max(1, len(candidate))
 
 
+def _costly(context: str, text: str, start: int, end: int, least_cost: float) -> list[tuple[int, int, float]]:
+    """(start, end, cost) of the costly pieces of a candidate; a rest of under LEAST characters belongs to the piece before."""
+    cuts = [*range(start, max(start + 1, end - LEAST + 1), PIECE), end]
+    costs = [(a, b, marginal_cost(context, text[a:b])) for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
+    return [c for c in costs if c[2] >= least_cost]
+
+
 def find(text: str | None, reach: int = 64, around: int = 256, least_cost: float = 0.7) -> list[tuple[str, int, int, float]]:
     """(kind, start, end, cost) in code points, by start and then kind; base kinds have cost 1."""
     if not text:
@@ -69,17 +82,24 @@ def find(text: str | None, reach: int = 64, around: int = 256, least_cost: float
         found += [("access", m.start(), m.end(), 1.0) for m in ACCESS.finditer(text) if m.end() - m.start() >= 16]
     found += [("hex", m.start(), m.end(), 1.0) for m in HEX.finditer(text)]
     taken = sorted((s, e) for _, s, e, _ in found)
-    last = -1
-    for h in HINTS.finditer(text):
-        for m in CANDIDATE.finditer(text, max(last, h.end()), min(len(text), h.end() + reach + 200)):
-            if m.start() > h.end() + reach:
-                break
-            last = m.end()
-            if any(s < m.end() and m.start() < e for s, e in taken):
-                continue
-            cost = marginal_cost(text[max(0, m.start() - around) : m.start()], m[0])
-            if cost >= least_cost:
-                found.append(("novel", m.start(), m.end(), cost))
+    hints = [h.end() for h in HINTS.finditer(text)]
+    near, k, chain = -1, 0, 0  # end of the candidate before, if it was near a hint; start of the secret's first part
+    for m in CANDIDATE.finditer(text, hints[0]) if hints else ():
+        start, end = m.span()
+        while k + 1 < len(hints) and hints[k + 1] <= start:
+            k += 1
+        adjoins = 0 <= near and start - near <= 8 and PARTED.fullmatch(text, near, start)
+        if start - hints[k] > reach and not adjoins:
+            continue
+        # Parts of one secret are weighed after the text before it: its other parts say what characters it has.
+        near, chain = end, chain if adjoins else start
+        if any(s < end and start < e for s, e in taken):
+            near = max([end, *(e for s, e in taken if s < end and start < e)])
+            continue
+        costs = _costly(text[max(0, chain - around) : chain], text, start, end, least_cost)
+        if costs:
+            tail = LAST_LINE.match(text, costs[-1][1])
+            found.append(("novel", costs[0][0], tail.end() if tail else costs[-1][1], max(c for _, _, c in costs)))
     return sorted(found, key=lambda f: (f[1], KINDS.index(f[0])))
 
 
