@@ -2,8 +2,9 @@
 
 The CLASSES x MEMBERS most frequent tokens, one of them standing for all rarer ones, are the model's events, in
 classes by rank: P(event | history) = P(class | history) P(event | class, history). Both factors are log-linear in
-hashed features: the last word, the one before, the two as a bigram, and the word three back (a skip feature), and
-start from the counts' own frequencies. A rare token w has in addition its share (c(w) + 1) / (sum of those + 1)
+hashed features and start from the counts' own frequencies: the class from the last word, the one before, the two as a
+bigram, and the word three back (a skip feature); the event in its class from the last word and the one before only.
+The numbers of events and of rows of weights are the same at every size of the input. A rare token w has in addition its share (c(w) + 1) / (sum of those + 1)
 among all rare tokens and one unseen type, so the probabilities of all tokens add up to 1.
 
 Training passes once over all training texts in ROUNDS. In each round every task takes gradient steps from the same
