@@ -12,8 +12,9 @@ from logfold.functions.ident import absent_as_zero, is_zero
 
 
 def chain_breaks(updates: DataFrame) -> DataFrame:
-    """updates with `expected`, the id that the ref had before, and whether `old_oid` is not that."""
-    before = F.lag("new_oid").over(Window.partitionBy("repo_id", "ref").orderBy("generation"))
+    """updates with `expected`, the id that the ref had before, and whether `old_oid` is not that. An ordinal orders a generation's updates."""
+    order = [c for c in ("generation", "ordinal") if c in updates.columns]
+    before = F.lag("new_oid").over(Window.partitionBy("repo_id", "ref").orderBy(*order))
     expected = F.coalesce(before, F.repeat(F.lit("0"), F.length("old_oid")))
     return updates.withColumn("expected", expected).withColumn("broken", F.col("old_oid") != F.col("expected"))
 
@@ -29,10 +30,11 @@ def transaction_state(updates: DataFrame, refs: DataFrame, keys: list[str]) -> D
 
 
 def lock_conflicts(incoming: DataFrame, prepared: DataFrame) -> DataFrame:
-    """Incoming transactions that share a ref with another one that is prepared."""
-    p = prepared.select(F.col("repo_id").alias("_repo"), F.col("ref").alias("_ref"), F.col("tx").alias("_tx"))
-    same = (F.col("repo_id") == F.col("_repo")) & (F.col("ref") == F.col("_ref")) & (F.col("tx") != F.col("_tx"))
-    return incoming.join(p, same, "left_semi")
+    """Incoming transactions that share a ref with another one that is prepared.
+
+    Another one exists if the ref's smallest or largest prepared transaction is another, so a busy ref costs one row."""
+    ends = prepared.groupBy("repo_id", "ref").agg(F.min("tx").alias("_first"), F.max("tx").alias("_last"))
+    return incoming.join(ends, ["repo_id", "ref"]).where((F.col("_first") != F.col("tx")) | (F.col("_last") != F.col("tx"))).drop("_first", "_last")
 
 
 def stale(prepared: DataFrame, now: int, age: int = 300_000_000) -> DataFrame:
@@ -57,79 +59,97 @@ def reference_step(state: Column) -> Column:
     return F.when(state == "prepared", "commit").when(state == "aborted", "abort").when(state == "committed", "finalize").otherwise("error")
 
 
-ADMITTED = "repo_id string, tx long, generation long, status string"
+ALONE = -1
+ADMITTED = "repo_id string, batch long, tx long, generation long, status string"
+
+
+class Refs:
+    """The live refs of one repository while its transactions are admitted in order, in batches that hold or fail as one."""
+
+    def __init__(self, repo: str):
+        self.repo, self.refs, self.generation = repo, {}, 0
+        self.batch, self.undo, self.open, self.failed = None, [], [], False
+
+    def settle(self, batch: int, tx: int, rows: list[tuple[str, str, str]]) -> list[tuple]:
+        """Takes the next transaction; returns the outcomes of the batch before, if this one opens another. Batch ALONE is a batch for each transaction."""
+        out = self.close() if batch != self.batch or batch == ALONE else []
+        self.batch = batch
+        if self.failed:
+            status = "rolled_back"
+        elif all((ref not in self.refs) if not new.strip("0") else self.refs.get(ref) == new for ref, _, new in rows):
+            status = "applied"
+        elif any(self.refs.get(ref, "0" * len(old)) != old for ref, old, _ in rows):
+            status = "conflict"
+            self._roll_back()
+        else:
+            status = "accepted"
+            self.generation += 1
+            for ref, _, new in rows:
+                self.undo.append((ref, self.refs.get(ref)))
+                if new.strip("0"):
+                    self.refs[ref] = new
+                else:
+                    self.refs.pop(ref, None)
+        self.open.append((tx, self.generation, status))
+        return out
+
+    def _roll_back(self) -> None:
+        """Puts back what the batch has changed; nothing of it shows."""
+        for ref, before in reversed(self.undo):
+            if before is None:
+                self.refs.pop(ref, None)
+            else:
+                self.refs[ref] = before
+        self.generation -= sum(s == "accepted" for _, _, s in self.open)
+        self.open = [(tx, self.generation, "rolled_back") for tx, _, _ in self.open]
+        self.failed = True
 
+    def close(self) -> list[tuple]:
+        out = [(self.repo, self.batch, *x) for x in self.open]
+        self.undo, self.open, self.failed = [], [], False
+        return out
 
-def admit(key: tuple, batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """The ordered admission of one repository's transactions (tx, ordinal, ref, old_oid, new_oid), sorted by arrival.
 
-    In turn: applied already, else every old id must hold, else conflict. State is one id for each live ref."""
-    refs: dict = {}
-    generation, held, at = 0, [], None
+def _admit(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    log, at, held = None, None, []
 
-    def settle(tx, rows):
-        nonlocal generation
-        get = lambda ref, like: refs.get(ref, "0" * len(like))
-        if all((ref not in refs) if not new.strip("0") else refs.get(ref) == new for ref, _, new in rows):
-            return key[0], tx, generation, "applied"
-        if any(get(ref, old) != old for ref, old, _ in rows):
-            return key[0], tx, generation, "conflict"
-        generation += 1
-        for ref, _, new in rows:
-            if new.strip("0"):
-                refs[ref] = new
-            else:
-                refs.pop(ref, None)
-        return key[0], tx, generation, "accepted"
+    def settled():
+        return log.settle(at[1], at[2], held) if held else []
 
-    for frame in batches:
+    for frame in frames:
         out = []
-        for tx, ref, old, new in zip(frame["tx"], frame["ref"], frame["old_oid"], frame["new_oid"], strict=True):
-            if held and tx != at:
-                out.append(settle(at, held))
+        for repo, batch, tx, ref, old, new in zip(*(frame[c] for c in ("repo_id", "batch", "tx", "ref", "old_oid", "new_oid")), strict=True):
+            if (repo, batch, tx) != at:
+                out += settled()
                 held = []
-            at = tx
+                if log is None or repo != log.repo:
+                    out += log.close() if log else []
+                    log = Refs(repo)
+                at = (repo, batch, tx)
             held.append((ref, old, new))
         if out:
-            yield pd.DataFrame(out, columns=["repo_id", "tx", "generation", "status"])
-    if held:
-        yield pd.DataFrame([settle(at, held)], columns=["repo_id", "tx", "generation", "status"])
-
-
-def ordered_admission(updates: DataFrame, order: tuple = ("arrival", "tx", "ordinal")) -> DataFrame:
-    """Outcome of each transaction, repositories side by side and each one in order.
-
-    The order inside a repository is the semantics, so its rows stream through one task in Arrow batches; they are sorted by the shuffle, and only the live refs are held."""
-    rows = updates.repartition("repo_id").sortWithinPartitions("repo_id", *order).select("repo_id", "tx", "ref", "old_oid", "new_oid")
+            yield pd.DataFrame(out, columns=["repo_id", "batch", "tx", "generation", "status"])
+    if log:
+        yield pd.DataFrame(settled() + log.close(), columns=["repo_id", "batch", "tx", "generation", "status"])
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        def parts():
-            for f in frames:
-                cut = (f["repo_id"] != f["repo_id"].shift()).cumsum()
-                yield from ((g["repo_id"].iloc[0], g) for _, g in f.groupby(cut, sort=False))
 
-        stream, held = parts(), []
+def batch_outcomes(updates: DataFrame, order: tuple = ("arrival", "tx", "ordinal")) -> DataFrame:
+    """Outcome of each transaction of updates (with batch), repositories side by side and each one in order.
 
-        def of_one(repo):
-            while held and held[0][0] == repo:
-                yield held.pop()[1]
-                nxt = next(stream, None)
-                if nxt:
-                    held.append(nxt)
+    In turn: applied already, else every old id must hold, else conflict. A conflict fails its whole batch: what the
+    batch changed before is put back, and its other transactions are rolled back. The order inside a repository is the
+    semantics, so its rows stream through one task in Arrow batches, sorted by the shuffle; only the live refs and the
+    open batch are held. Repositories are never null."""
+    rows = updates.repartition("repo_id").sortWithinPartitions("repo_id", "batch", *order).select("repo_id", "batch", "tx", "ref", "old_oid", "new_oid")
+    return rows.mapInPandas(_admit, ADMITTED)
 
-        nxt = next(stream, None)
-        if nxt:
-            held.append(nxt)
-        while held:
-            yield from admit((held[0][0],), of_one(held[0][0]))
 
-    return rows.mapInPandas(run, ADMITTED)
+def ordered_admission(updates: DataFrame, order: tuple = ("arrival", "tx", "ordinal")) -> DataFrame:
+    """Outcome of each transaction (repo_id, tx, generation, status) where each is a batch of its own."""
+    return batch_outcomes(updates.withColumn("batch", F.lit(ALONE).cast("long")), order).drop("batch")
 
 
-def batch_admission(outcomes: DataFrame, batches: DataFrame) -> DataFrame:
-    """One row a batch: it commits only if no transaction of it conflicts, and writes only if one changes something."""
-    joined = batches.join(outcomes, ["repo_id", "tx"])
+def batch_admission(outcomes: DataFrame) -> DataFrame:
+    """One row a batch of batch_outcomes: it commits only if no transaction of it conflicts, and writes only if one changes something."""
     failed = F.count_if(F.col("status") == "conflict") > 0
-    return joined.groupBy("repo_id", "batch").agg(F.count("*").alias("n"), failed.alias("failed"), (~failed & (F.count_if(F.col("status") == "accepted") > 0)).alias("writes"))
-
-
+    return outcomes.groupBy("repo_id", "batch").agg(F.count("*").alias("n"), failed.alias("failed"), (~failed & (F.count_if(F.col("status") == "accepted") > 0)).alias("writes"), F.max("generation").alias("generation"))

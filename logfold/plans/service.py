@@ -68,10 +68,11 @@ def latency_overhead(spark, d):
     return two.select("write_ms", "read_ms", F.round((F.col("write_ms") / F.col("read_ms") - 1) * 100, 9).alias("overhead_percent"), F.round(1000 / F.col("write_ms"), 9).alias("writes_per_second"))
 
 
-@query(f"{R} SELECT node, string_agg(m, '; ' ORDER BY m) AS failures FROM (SELECT node, service || ' ' || request_id AS m FROM requests WHERE failed AND request_id % 10 = 0) GROUP BY 1")
+@query(f"{R} SELECT node, at_us // 3600000000 AS hour, string_agg(m, '; ' ORDER BY m) AS failures FROM (SELECT node, at_us, service || ' ' || request_id AS m FROM requests WHERE failed) GROUP BY ALL")
 def failure_messages(spark, d):
-    r = fx.requests(spark, d).where("failed and request_id % 10 = 0")
-    return metrics.joined_failures(r.withColumn("m", F.concat_ws(" ", "service", "request_id")), ["node"], "m")
+    """The failures of a node's requests, hour by hour."""
+    r = fx.requests(spark, d).where("failed").withColumns({"m": F.concat_ws(" ", "service", "request_id"), "hour": F.expr("at_us div 3600000000")})
+    return metrics.joined_failures(r, ["node", "hour"], "m")
 
 
 @query("""WITH g AS (SELECT c_mktsegment AS repo_id, sha256(c_name) AS sha256, c_custkey % 4 IN (1, 3) AS can_read, c_custkey % 4 IN (2, 3) AS can_write FROM customer),
@@ -178,9 +179,10 @@ def admit_batch(spark, d):
 
 @query()
 def admit_batches(spark, d):
-    outcomes = admission.ordered_admission(commit_requests(spark, d))
+    """Batches depend on what the batches before left; a test holds them against a plain loop with roll-back."""
     w = windows.group_commit(arrivals(spark, d), window=3 * 86_400_000_000, most=64)
-    return admission.batch_admission(outcomes, w.select("repo_id", "batch", "tx"))
+    requests = commit_requests(spark, d).join(w.select("repo_id", "tx", "batch"), ["repo_id", "tx"])
+    return admission.batch_admission(admission.batch_outcomes(requests))
 
 
 @query()

@@ -124,6 +124,56 @@ def test_ordered_admission_equals_a_loop(spark):
     assert {s for _, s in want.values()} == {"applied", "conflict", "accepted"}
 
 
+def loop_batches(requests):
+    """requests of one repository in order: (batch, tx, moves). A conflict undoes its whole batch."""
+    refs, generation, out = {}, 0, []
+    for batch in sorted({b for b, _, _ in requests}):
+        before, was, got = dict(refs), generation, []
+        for _, tx, moves in (r for r in requests if r[0] == batch):
+            if all(refs.get(r, Z) == n for r, _, n in moves):
+                got.append((tx, generation, "applied"))
+            elif any(refs.get(r, Z) != o for r, o, _ in moves):
+                got = [(t, was, "rolled_back") for t, _, _ in got] + [(tx, was, "conflict")]
+                got += [(t, was, "rolled_back") for b, t, _ in requests if b == batch and t not in {g[0] for g in got}]
+                refs, generation = before, was
+                break
+            else:
+                generation += 1
+                for r, _, n in moves:
+                    refs.pop(r, None) if n == Z else refs.__setitem__(r, n)
+                got.append((tx, generation, "accepted"))
+        out += [(batch, *g) for g in got]
+    return out
+
+
+def test_failed_batches_leave_nothing(spark):
+    rows = [("a", 0, 1, 0, "x", Z, oid("1"), 1), ("a", 0, 2, 0, "x", Z, oid("9"), 2), ("a", 1, 3, 0, "x", Z, oid("2"), 3)]
+    schema = "repo_id string, batch long, tx long, ordinal int, ref string, old_oid string, new_oid string, arrival long"
+    got = {r.tx: r.status for r in admission.batch_outcomes(spark.createDataFrame(rows, schema)).collect()}
+    assert got == {1: "rolled_back", 2: "conflict", 3: "accepted"}
+    assert admission.batch_outcomes(spark.createDataFrame([], schema)).count() == 0
+    g = random.Random(6)
+    rows, want = [], set()
+    for repo in "abc":
+        requests = []
+        for tx in range(300):
+            moves = [(f"x{g.randrange(3)}", g.choice([Z, oid("1"), oid("2")]), g.choice([Z, oid("1"), oid("2")])) for _ in range(g.randrange(1, 3))]
+            moves = list({m[0]: m for m in moves}.values())
+            requests.append((tx // 2, tx, moves))
+            rows += [(repo, tx // 2, tx, i, r, o, n, tx) for i, (r, o, n) in enumerate(moves)]
+        want |= {(repo, *x) for x in loop_batches(requests)}
+    g.shuffle(rows)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "17")
+    try:
+        df = admission.batch_outcomes(spark.createDataFrame(rows, schema))
+        got = {tuple(r) for r in df.collect()}
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert got == want and {x[-1] for x in want} == {"applied", "conflict", "accepted", "rolled_back"}
+    by = {(r.repo_id, r.batch): r for r in admission.batch_admission(df).collect()}
+    assert all(by[repo, b].failed == any(w[:2] == (repo, b) and w[-1] == "conflict" for w in want) for repo, b, *_ in want)
+
+
 def test_chains(spark):
     rows = [("p", "ok", g, f"d{g}", f"d{g - 1}" if g else None) for g in range(300)]
     rows += [("p", "lost", 0, "a", None), ("p", "lost", 2, "c", "b"), ("p", "cycle", 0, "r", None), ("p", "cycle", 1, "x", "y"), ("p", "cycle", 2, "y", "x")]
