@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import os
+import uuid
+
 from pyspark.sql import SparkSession
 
 
@@ -12,18 +15,33 @@ def _at(spark: SparkSession, path: str):
 
 
 def create(spark: SparkSession, path: str, data: bytes) -> bool:
-    """Creates a file that must not exist; False if it does. Exclusive on HDFS and local file systems; an object store needs a conditional put."""
+    """Makes a file that must not exist, whole or not at all; False if it exists.
+
+    The bytes are written under a name of their own first. A hard link on a local file system and a rename without
+    overwrite on HDFS then either give them the path or fail; an object store needs a conditional put in their place."""
     fs, p = _at(spark, path)
+    jvm = spark.sparkContext._jvm
+    if fs.exists(p):
+        return False
+    own = jvm.org.apache.hadoop.fs.Path(p.getParent(), f".{uuid.uuid4().hex}.part")
+    out = fs.create(own, False)
+    try:
+        out.write(data)
+    finally:
+        out.close()
     try:
-        out = fs.create(p, False)
+        if fs.getScheme() == "file":
+            os.link(own.toUri().getPath(), p.toUri().getPath())
+        else:
+            options = spark.sparkContext._gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 1)
+            options[0] = jvm.org.apache.hadoop.fs.Options.Rename.NONE
+            jvm.org.apache.hadoop.fs.FileContext.getFileContext(p.toUri(), spark.sparkContext._jsc.hadoopConfiguration()).rename(own, p, options)
     except Exception:
         if fs.exists(p):
             return False
         raise
-    try:
-        out.write(data)
     finally:
-        out.close()
+        fs.delete(own, False)
     return True
 
 
@@ -36,9 +54,15 @@ def read(spark: SparkSession, path: str) -> bytes:
         stream.close()
 
 
+def read_if_exists(spark: SparkSession, path: str) -> bytes | None:
+    fs, p = _at(spark, path)
+    return read(spark, path) if fs.exists(p) else None
+
+
 def names(spark: SparkSession, path: str) -> list[str]:
+    """Names in a folder, without those that are still being written."""
     fs, p = _at(spark, path)
-    return sorted(s.getPath().getName() for s in fs.listStatus(p)) if fs.exists(p) else []
+    return sorted(n for s in fs.listStatus(p) if not (n := s.getPath().getName()).startswith(".")) if fs.exists(p) else []
 
 
 def delete(spark: SparkSession, path: str) -> bool:

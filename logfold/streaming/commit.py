@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import json
 import uuid
 from collections.abc import Callable
@@ -13,6 +14,8 @@ from logfold.operators.lineage import shared_dir
 from logfold.sources import hadoop
 
 ATTEMPTS = 32
+#: Versions between summaries of all before them.
+SUMMARY = 64
 
 
 class Conflict(RuntimeError):
@@ -40,34 +43,61 @@ class LogTable:
     def version(self, name: str) -> dict:
         return json.loads(hadoop.read(self.spark, f"{self.root}/versions/{name}"))
 
+    def _marker(self, batch: str) -> str:
+        return f"{self.root}/batches/{hashlib.sha256(batch.encode()).hexdigest()}.json"
+
+    def _committed(self, names: list[str], batch: str) -> int | None:
+        """The version of a batch, from its marker or the last version: every version before that has a marker."""
+        if names and self.version(names[-1])["batch"] == batch:
+            return len(names) - 1
+        marker = hadoop.read_if_exists(self.spark, self._marker(batch))
+        return json.loads(marker)["version"] if marker else None
+
+    def _settle(self, names: list[str]) -> None:
+        """Gives the last version the marker, and the summary, that its writer may not have lived to write."""
+        if not names:
+            return
+        n = len(names) - 1
+        hadoop.create(self.spark, self._marker(self.version(names[-1])["batch"]), json.dumps({"version": n}).encode())
+        if len(names) % SUMMARY == 0:
+            hadoop.create(self.spark, f"{self.root}/summaries/s{n:020d}.json", json.dumps(self._data(names)).encode())
+
+    def _data(self, names: list[str]) -> list[str]:
+        """The data folder of each version, from the last summary and the versions after it."""
+        known = [x for x in hadoop.names(self.spark, f"{self.root}/summaries") if x[1:21] <= names[-1][1:21]] if names else []
+        data = json.loads(hadoop.read(self.spark, f"{self.root}/summaries/{known[-1]}")) if known else []
+        return data + [self.version(v)["data"] for v in names[len(data) :]]
+
     def commit(self, rows: DataFrame, batch: str, check: Callable[[DataFrame], bool] | None = None) -> int:
         """Appends rows as one version and returns its number. A batch id that is committed already changes nothing.
 
-        check is asked with the state before each attempt; if it fails the batch conflicts and nothing of it shows."""
-        for n, name in enumerate(self.versions()):
-            if self.version(name)["batch"] == batch:
-                return n
+        A commit reads a bounded number of files, whatever the number of versions. check is asked with the state before
+        each attempt; if it fails the batch conflicts and nothing of it shows."""
+        done = self._committed(self.versions(), batch)
+        if done is not None:
+            return done
         data = f"{self.root}/data/{uuid.uuid4().hex}"
         self.hook("before-data")
         rows.write.parquet(data)
         self.hook("after-data")
         for _ in range(ATTEMPTS):
-            n = len(self.versions())
+            names = self.versions()
+            done = self._committed(names, batch)
+            if done is not None:
+                return done
+            self._settle(names)
             if check and not check(self.read()):
                 raise Conflict(batch)
             self.hook("before-version")
             body = json.dumps({"batch": batch, "data": data.removeprefix(self.root)}).encode()
-            path = f"{self.root}/versions/v{n:020d}.json"
-            if hadoop.create(self.spark, path, body) or hadoop.read(self.spark, path) == body:
+            if hadoop.create(self.spark, f"{self.root}/versions/v{len(names):020d}.json", body):
                 self.hook("after-version")
-                return n
-            if self.version(f"v{n:020d}.json")["batch"] == batch:
-                return n
+                return len(names)
         raise Conflict(f"{batch}: {ATTEMPTS} attempts lost")
 
     def read(self, after: int = -1) -> DataFrame:
         """Rows of all versions after a number."""
-        paths = [self.root + self.version(v)["data"] for v in self.versions()[after + 1 :]]
+        paths = [self.root + d for d in self._data(self.versions())[after + 1 :]]
         return self.spark.read.schema(self.schema).parquet(*paths) if paths else self.spark.createDataFrame([], self.schema)
 
     def sink(self) -> Callable[[DataFrame, int], None]:

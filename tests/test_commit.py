@@ -45,6 +45,36 @@ def test_crash_at_each_boundary(spark, table, boundary, visible):
     assert values(table) == [1]
 
 
+def test_a_writer_that_dies_while_its_version_is_written(spark, table, monkeypatch):
+    """Its bytes are there under a name of their own; the version isn't, and the next commit takes its number."""
+    import os
+
+    link = os.link
+
+    def dies(*_):
+        raise KeyboardInterrupt
+
+    monkeypatch.setattr(os, "link", dies)
+    with pytest.raises(KeyboardInterrupt):
+        table.commit(rows(spark, 1), "b1")
+    monkeypatch.setattr(os, "link", link)
+    assert table.versions() == [] and table.commit(rows(spark, 2), "b2") == 0 and table.commit(rows(spark, 1), "b1") == 1
+    assert values(table) == [1, 2]
+
+
+def test_commits_read_a_bounded_number_of_files(spark, table, monkeypatch):
+    monkeypatch.setattr("logfold.streaming.commit.SUMMARY", 4)
+    read, seen = hadoop.read, []
+    monkeypatch.setattr(hadoop, "read", lambda *a: (seen.append(a[1]), read(*a))[1])
+    one = rows(spark, 1)
+    for i in range(11):
+        seen.clear()
+        assert table.commit(one, f"b{i}") == i and len(seen) <= 8
+    assert all(table.commit(one, f"b{i}") == i for i in range(11)) and len(table.versions()) == 11
+    seen.clear()
+    assert table.read().count() == 11 and len(seen) <= 5 and table.read(after=8).count() == 2
+
+
 def test_concurrent_writers_all_land_once(spark, table):
     with ThreadPoolExecutor(6) as pool:
         numbers = list(pool.map(lambda i: table.commit(rows(spark, i), f"w{i}"), range(6)))
