@@ -52,6 +52,16 @@ def raw(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return (np.frombuffer(data, np.uint8) if data is not None and data.size else np.zeros(0, np.uint8)), off
 
 
+def slices(batch: pa.RecordBatch, column: int, rows: int = 512, size: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+    """The batch in parts of at most `rows` rows and about `size` bytes of the text column; a longer text is a part of its own."""
+    off = raw(batch.column(column))[1]
+    at, n = 0, batch.num_rows
+    while at < n:
+        to = min(n, at + rows, max(at + 1, int(np.searchsorted(off, off[at] + size, "right")) - 1))
+        yield batch.slice(at, to - at)
+        at = to
+
+
 def segments(data: np.ndarray, off: np.ndarray, limit: int = SEGMENT) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
     """(bytes, document of each piece, start of each piece and the end) of about limit bytes; long documents are cut after white space."""
     i, n = 0, len(off) - 1

@@ -1,14 +1,16 @@
 """Toxicity: non-negative positive-unlabelled learning of a linear classifier over hashed words.
 
-Confirmed toxic rows are the positives; a bounded, hash-ordered sample of all documents is the unlabelled side. With
-the class prior p of the labelled rows, the risk is p R+(f, 1) + max(0, R(f, 0 | unlabelled) - p R+(f, 0)); where the
-second term would be negative, its gradient is turned, so that the model can't fit the unlabelled side as negative.
-Features are words, their beginnings and endings, each at three levels of how often a text has it; those most unlike
-between the two sides are kept.
+Confirmed toxic rows are the positives, at most MOST_POSITIVE of them; all documents are the unlabelled side. With the
+class prior p of the labelled rows, the risk is p R+(f, 1) + max(0, R(f, 0 | unlabelled) - p R+(f, 0)); where the second
+term would be negative, its gradient is turned, so that the model can't fit the unlabelled side as negative. All
+documents are dealt into shards of about SHARD; each shard trains a classifier in numpy, and these are averaged.
+Features are words, their beginnings and endings, each at three levels of how often a text has it. Shares of features
+are counted over all documents; the MOST_WORDS words most unlike between the two sides are kept with all their levels.
 
 Null and empty texts have no features and score as the model's bias does. Whole texts of any length are scored.
-Repeated rows get equal scores; repeated labels of a document count as toxic if one does; null labels are ignored.
-Without any confirmed row every score is 0. Other columns pass through untouched.
+Repeated rows get equal scores; repeated labels of a document count as toxic if one does, and of several texts with one
+id the smallest is learned from; null labels and ids are ignored. Without any confirmed row every score is 0. Other
+columns pass through, and one named as the output is replaced. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -21,11 +23,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
-from .common import fold, materialise, table
-from .textbuf import LOWER, raw, run_hashes, runs, segments
+from .common import fold, materialise, remove, table
+from .textbuf import LOWER, raw, run_hashes, runs, segments, slices
 
 BITS = 22
-MOST_POSITIVE, MOST_UNLABELLED, MOST_COLUMNS = 3000, 6000, 256
+MOST_POSITIVE, MOST_WORDS = 3000, 128
+#: Documents that one classifier learns from.
+SHARD = 8192
 #: A feature counts once more where a text has it so often.
 LEVELS = (1, 2, 4)
 #: Features kept: in this share of the positives, and so many standard errors above their share of the unlabelled.
@@ -53,26 +57,32 @@ def feature_hashes(texts: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         yield np.concatenate(owner), np.concatenate(parts).astype(np.int64)
 
 
+def _levels(texts: pa.Array) -> list[np.ndarray]:
+    """The features of each text, at every level that it reaches."""
+    got: list[list[np.ndarray]] = [[] for _ in range(len(texts))]
+    for owner, f in feature_hashes(texts):
+        order = np.argsort(owner, kind="stable")
+        owner, f = owner[order], f[order]
+        cut = np.flatnonzero(np.append(True, owner[1:] != owner[:-1]))[: len(owner)]
+        for d, part in zip(owner[cut].tolist(), np.split(f, cut[1:]), strict=False):
+            got[d].append(part)
+    rows = []
+    for parts in got:
+        u, n = np.unique(np.concatenate(parts) if parts else np.zeros(0, np.int64), return_counts=True)
+        rows.append(np.concatenate([u[n >= least] | (k << BITS) for k, least in enumerate(LEVELS)]))
+    return rows
+
+
 def _features_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
-        got: list[list[np.ndarray]] = [[] for _ in range(b.num_rows)]
-        for owner, f in feature_hashes(b.column(1)):
-            order = np.argsort(owner, kind="stable")
-            owner, f = owner[order], f[order]
-            cut = np.flatnonzero(np.append(True, owner[1:] != owner[:-1]))[: len(owner)]
-            for d, part in zip(owner[cut].tolist(), np.split(f, cut[1:]), strict=False):
-                got[d].append(part)
-        rows = []
-        for parts in got:
-            u, n = np.unique(np.concatenate(parts) if parts else np.zeros(0, np.int64), return_counts=True)
-            rows.append(np.concatenate([u[n >= least] | (k << BITS) for k, least in enumerate(LEVELS)]).astype(np.uint32).tobytes())
-        yield pa.RecordBatch.from_arrays([b.column(0), pa.array(rows, pa.binary())], names=["positive", "features"])
+        for part in slices(b, 0, 256):
+            yield pa.RecordBatch.from_arrays([pa.array([r.astype(np.uint32).tobytes() for r in _levels(part.column(0))], pa.binary())], names=["features"])
 
 
 def _flat(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         if b.num_rows:
-            yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(b"".join(b.column(1).to_pylist()), np.uint32).astype(np.int64))], names=["f"])
+            yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(b"".join(b.column(0).to_pylist()), np.uint32).astype(np.int64))], names=["f"])
 
 
 def _among(often):
@@ -81,8 +91,87 @@ def _among(often):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = often.value
         for b in batches:
-            rows = [np.frombuffer(x, np.uint32) for x in b.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([x[np.isin(x, known)].tobytes() for x in rows], pa.binary())], names=["positive", "features"])
+            rows = [np.frombuffer(x, np.uint32) for x in b.column(0).to_pylist()]
+            yield pa.RecordBatch.from_arrays([pa.array([x[np.isin(x, known)].tobytes() for x in rows], pa.binary())], names=["features"])
+
+    return run
+
+
+def _matches(texts: pa.Array, known: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(text, place in known) of each of the sorted features in known that a text has."""
+    k, seen = len(known), []
+    base = np.unique(known & ((1 << BITS) - 1))
+    own = np.zeros(1 << BITS, bool)
+    own[base] = True
+    for owner, f in feature_hashes(texts):
+        hit = own[f]
+        seen.append((owner[hit] << BITS) | f[hit])
+    pairs, n = np.unique(np.concatenate(seen) if seen else np.zeros(0, np.int64), return_counts=True)
+    rows, places = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    for j, least in enumerate(LEVELS if k else ()):
+        at = pairs[n >= least]
+        f = (at & ((1 << BITS) - 1)) | (j << BITS)
+        place = np.minimum(np.searchsorted(known, f), k - 1)
+        there = known[place] == f
+        rows.append(at[there] >> BITS)
+        places.append(place[there])
+    return np.concatenate(rows), np.concatenate(places)
+
+
+def _count_among(often):
+    """(place of the feature, documents of this task that have it); -1 counts the documents."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known, docs = often.value, 0
+        total = np.zeros(len(known), np.int64)
+        for b in batches:
+            for part in slices(b, 0, 1024):
+                docs += part.num_rows
+                total += np.bincount(_matches(part.column(0), known)[1], minlength=len(known))
+        some = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(np.append(some, -1)), pa.array(np.append(total[some], docs))], names=["f", "n"])
+
+    return run
+
+
+def _bits(chosen):
+    """Which of the chosen features each text has."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = chosen.value
+        for b in batches:
+            for part in slices(b, 0, 1024):
+                x = np.zeros((part.num_rows, len(known)), bool)
+                x[_matches(part.column(0), known)] = True
+                yield pa.RecordBatch.from_arrays([pa.array([r.tobytes() for r in np.packbits(x, axis=1)], pa.binary())], names=["bits"])
+
+    return run
+
+
+def _train_shards(shared):
+    """The sums of the weights (and the bias, last) over this task's documents, each standing for its shard's classifier."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        positive, prior = shared.value
+        k = positive.shape[1]
+        held: list[bytes] = []
+        total, docs = np.zeros(k + 1), 0
+
+        def learn(rows):
+            nonlocal total, docs
+            x = np.unpackbits(np.frombuffer(b"".join(rows), np.uint8).reshape(len(rows), -1), axis=1, count=k).astype(np.float32)
+            w, bias = nnpu_fit(positive, x, prior)
+            total, docs = total + np.append(w, bias) * len(rows), docs + len(rows)
+
+        for b in batches:
+            held += b.column(0).to_pylist()
+            while len(held) >= 2 * SHARD:
+                learn(held[:SHARD])
+                held = held[SHARD:]
+        if held:
+            learn(held)
+        if docs:
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(k + 2)), pa.array(np.append(total, docs))], names=["j", "w"])
 
     return run
 
@@ -133,69 +222,76 @@ def nnpu_fit(p: np.ndarray, u: np.ndarray, prior: float, steps: int = 600, rate:
     return w[:-1], float(w[-1])
 
 
-def train(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float) -> Model:
-    """A model from the hashed features, with their levels, of each positive and each unlabelled row."""
-    if not positive or not unlabelled:
-        return Model(np.zeros(0, np.int64), np.zeros((0, len(LEVELS))), -np.inf)
-    some, cp = np.unique(np.concatenate(positive), return_counts=True)
-    often = cp >= max(4, LEAST_SHARE * len(positive))
-    some, cp, cu = some[often].astype(np.int64), cp[often], np.zeros(often.sum(), np.int64)
-    for r in unlabelled if len(some) else ():
-        at = np.minimum(np.searchsorted(some, r), len(some) - 1)
-        cu[at[some[at] == r]] += 1
-    a, b = (cp + 0.5) / (len(positive) + 1), (cu + 0.5) / (len(unlabelled) + 1)
-    sure = (a - b) / np.sqrt(b * (1 - b) / len(positive)) >= LEAST_Z
+def choose(some: np.ndarray, cp: np.ndarray, positives: int, cu: np.ndarray, unlabelled: int) -> np.ndarray:
+    """Sorted features of the MOST_WORDS hashed words with the largest gain; cp and cu count the rows of each side that have each feature."""
+    a, b = (cp + 0.5) / (positives + 1), (cu + 0.5) / (unlabelled + 1)
+    sure = (a - b) / np.sqrt(b * (1 - b) / positives) >= LEAST_Z
     gain = np.where(sure, a * np.log(a / b), 0)
-    best = np.argsort(-gain, kind="stable")[:MOST_COLUMNS]
-    chosen = some[best[gain[best] > 1e-4]]
-    by = np.argsort(chosen)
-
-    def matrix(rows: list[np.ndarray]) -> np.ndarray:
-        x = np.zeros((len(rows), len(chosen)), np.float32)
-        for i, r in enumerate(rows if len(chosen) else ()):
-            at = np.minimum(np.searchsorted(chosen, r, sorter=by), len(chosen) - 1)
-            x[i, by[at][chosen[by[at]] == r]] = 1
-        return x
-
-    w, bias = nnpu_fit(matrix(positive), matrix(unlabelled), prior)
-    ids = np.unique(chosen & ((1 << BITS) - 1))
-    weights = np.zeros((len(ids), len(LEVELS)))
-    weights[np.searchsorted(ids, chosen & ((1 << BITS) - 1)), chosen >> BITS] = w
-    return Model(ids, weights, bias)
+    word = some & ((1 << BITS) - 1)
+    words, which = np.unique(word, return_inverse=True)
+    best = np.zeros(len(words))
+    np.maximum.at(best, which, gain)
+    kept = np.argsort(-best, kind="stable")[:MOST_WORDS]
+    kept = kept[best[kept] > 1e-4]
+    return np.sort(some[np.isin(word, words[kept]) & (gain > 1e-4)])
 
 
-def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", most_positive: int = MOST_POSITIVE, most_unlabelled: int = MOST_UNLABELLED) -> Model:
-    """Learns from the labelled ids given and from docs. At most most_positive and most_unlabelled rows, first by hash, are read.
+def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", most_positive: int = MOST_POSITIVE) -> Model:
+    """Learns from the labelled ids given and from docs, all of which are the unlabelled side.
 
-    The prior counts all labels."""
+    Of confirmed rows at most most_positive, first by hash, are read; the prior counts all labels."""
+    spark = docs.sparkSession
+    empty = Model(np.zeros(0, np.int64), np.zeros((0, len(LEVELS))), -np.inf)
     by_id = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("id")).agg(F.max(label_col).alias("y"))
     n, ones = by_id.agg(F.count("*"), F.sum((F.col("y") == 1).cast("long"))).first()
     if not n or not ones:
-        return train([], [], 0.0)
-    order = F.xxhash64(F.col("id").cast("string"))
-    known = by_id.where("y = 1").select("id").orderBy(order, "id").limit(most_positive)
+        return empty
+    known = by_id.where("y = 1").select("id").orderBy(F.xxhash64(F.col("id").cast("string")), "id").limit(most_positive)
     plain = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    few = plain.select("id").where("id is not null").groupBy("id").agg(F.lit(1)).select("id").orderBy(order, "id").limit(most_unlabelled)
-    wanted = known.withColumn("positive", F.lit(True)).unionByName(few.withColumn("positive", F.lit(False)))
-    rows = plain.join(F.broadcast(wanted), "id").dropDuplicates(["id", "positive"]).select("positive", "text")
-    features = materialise(rows.mapInArrow(_features_of, "positive boolean, features binary"), "features")
-    positives = features.where("positive")
-    least = max(4, LEAST_SHARE * positives.count())
-    often = positives.mapInArrow(_flat, "f long").groupBy("f").agg(F.count("*").alias("n")).where(F.col("n") >= least).select("f").toArrow()
-    shared = docs.sparkSession.sparkContext.broadcast(np.sort(often.column(0).to_numpy()))
-    got = features.mapInArrow(_among(shared), "positive boolean, features binary").toArrow()
-    sides = {True: [], False: []}
-    for y, f in zip(got.column(0).to_pylist(), (f for part in got.column(1).chunks for f in part), strict=True):
-        sides[y].append(np.frombuffer(f.as_buffer(), np.uint32))
-    return train(sides[True], sides[False], ones / n)
+    rows = plain.join(F.broadcast(known), "id").groupBy("id").agg(F.min("text").alias("text")).select("text")
+    positives = materialise(rows.mapInArrow(_features_of, "features binary"), "features")
+    p = positives.count()
+    if not p:
+        remove(positives)
+        return empty
+    often = positives.mapInArrow(_flat, "f long").groupBy("f").agg(F.count("*").alias("n")).where(F.col("n") >= max(4, LEAST_SHARE * p)).toArrow()
+    order = np.argsort(often.column(0).to_numpy())
+    some, cp = often.column(0).to_numpy()[order], often.column(1).to_numpy()[order]
+    shared = spark.sparkContext.broadcast(some)
+    got = positives.mapInArrow(_among(shared), "features binary").toArrow().column(0).to_pylist()
+    remove(positives)
+    counted = plain.select("text").mapInArrow(_count_among(shared), "f long, n long").groupBy("f").agg(F.sum("n").alias("n")).collect()
+    cu, unlabelled = np.zeros(len(some), np.int64), 0
+    for f, m in counted:
+        if f < 0:
+            unlabelled = m
+        else:
+            cu[f] = m
+    chosen = choose(some, cp, p, cu, unlabelled)
+    x = np.zeros((p, len(chosen)), np.float32)
+    for i, r in enumerate(got):
+        x[i, np.searchsorted(chosen, (f := np.frombuffer(r, np.uint32).astype(np.int64))[np.isin(f, chosen)])] = 1
+    shards = max(1, round(unlabelled / SHARD))
+    bits = plain.select("text").mapInArrow(_bits(spark.sparkContext.broadcast(chosen)), "bits binary").repartition(shards)
+    trained = bits.mapInArrow(_train_shards(spark.sparkContext.broadcast((x, ones / n))), "j long, w double").groupBy("j").agg(F.sum("w").alias("w")).orderBy("j").collect()
+    w = np.array([r.w for r in trained])
+    return assembled(chosen, w[:-2] / w[-1], w[-2] / w[-1])
+
+
+def assembled(chosen: np.ndarray, w: np.ndarray, bias: float) -> Model:
+    ids = np.unique(chosen & ((1 << BITS) - 1))
+    weights = np.zeros((len(ids), len(LEVELS)))
+    weights[np.searchsorted(ids, chosen & ((1 << BITS) - 1)), chosen >> BITS] = w
+    return Model(ids, weights, float(bias))
 
 
 def _score(model, at: int, out_col: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = model.value
         for b in batches:
-            z = m.logits(b.column(at))
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(1 / (1 + np.exp(-np.clip(z, -700, 700))), pa.float64())], names=[*b.schema.names, out_col])
+            for part in slices(b, at, 1024):
+                z = m.logits(part.column(at))
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(1 / (1 + np.exp(-np.clip(z, -700, 700))), pa.float64())], names=[*b.schema.names, out_col])
 
     return run
 
