@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -32,13 +34,22 @@ def valid_chunk(digest: Column, size: Column) -> Column:
 
 
 def json_text(text: Column) -> Column:
-    """A JSON string as the log writes it: the signs < > & and the two line separators are escaped."""
-    escaped = text
-    for char, code in (("\\", "\\\\"), ('"', '\\"'), ("&", "\\u0026"), ("<", "\\u003c"), (">", "\\u003e"), ("\u2028", "\\u2028"), ("\u2029", "\\u2029")):
-        escaped = F.replace(escaped, F.lit(char), F.lit(code))
+    """A JSON string as the log writes it: the signs < > &, the two line separators and control characters are escaped."""
+    pairs = [("\\", "\\\\"), ('"', '\\"'), ("&", "\\u0026"), ("<", "\\u003c"), (">", "\\u003e"), ("\u2028", "\\u2028"), ("\u2029", "\\u2029")]
+    control = [(chr(c), {8: "\\b", 9: "\\t", 10: "\\n", 12: "\\f", 13: "\\r"}.get(c, f"\\u{c:04x}")) for c in range(32)]
+    replaced = lambda x, by: reduce(lambda y, p: F.replace(y, F.lit(p[0]), F.lit(p[1])), by, x)
+    escaped = replaced(text, pairs)
+    # Control characters are rare; only texts that have one go through their replacements.
+    escaped = F.when(text.rlike("[\\x00-\\x1f]"), replaced(escaped, control)).otherwise(escaped)
     return F.concat(F.lit('"'), escaped, F.lit('"'))
 
 
+def error_class(code: Column, status: Column) -> Column:
+    """What a store's error means, by its code or else its HTTP status: precondition, conflict, not_found or other."""
+    by = lambda names, http: F.coalesce(code.isin(*names), F.lit(False)) | F.coalesce(status == http, F.lit(False))
+    return F.when(by(["PreconditionFailed"], 412), "precondition").when(by(["ConditionalRequestConflict"], 409), "conflict").when(by(["NoSuchKey", "NotFound"], 404), "not_found").otherwise("other")
+
+
 def update_json(old: Column, new: Column, ref: Column) -> Column:
     return F.concat(F.lit('{"old":'), json_text(old), F.lit(',"new":'), json_text(new), F.lit(',"ref":'), json_text(ref), F.lit("}"))
 

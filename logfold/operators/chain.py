@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from logfold.functions.ident import is_zero
 from logfold.operators.lineage import cut
 
 KEYS = ["authority", "repo_id"]
@@ -60,6 +61,25 @@ def newest(certs: DataFrame, keys: list[str] = KEYS) -> DataFrame:
     return best.select(*keys, "generation", F.when(F.col("t.n") == 1, F.col("t.digest")).alias("head"), (F.col("t.n") > 1).alias("fork"))
 
 
+def refs_along(certs: DataFrame, keys: list[str] = KEYS) -> DataFrame:
+    """certs (digest, previous, generation, refs, updates) with the first check that a link fails against its parent: parent, generation, refs or ok.
+
+    A link's refs must be its parent's with its updates applied, the last of a ref's updates winning and zeros deleting;
+    an anchor, without parent, has its updates applied to nothing. Each link is compared with one other, so a chain's
+    length costs no more than its links."""
+    parent = certs.select(*keys, F.col("digest").alias("previous"), F.col("generation").alias("_before"), F.col("refs").alias("_refs"))
+    joined = certs.join(parent, [*keys, "previous"], "left")
+    moved = F.aggregate("updates", F.create_map().cast("map<string,string>"), lambda m, u: F.map_concat(F.map_filter(m, lambda k, _: k != u["ref"]), F.create_map(u["ref"], u["new"])))
+    old = F.coalesce("_refs", F.create_map().cast("map<string,string>"))
+    want = F.map_filter(F.map_concat(F.map_filter(old, lambda k, _: ~F.map_contains_key(F.col("_moved"), k)), F.col("_moved")), lambda _, v: ~is_zero(v))
+    same = lambda a, b: F.array_sort(F.map_entries(a)).eqNullSafe(F.array_sort(F.map_entries(b)))
+    status = (
+        F.when(F.col("previous").isNotNull() & F.col("_before").isNull(), "parent").when(F.col("previous").isNotNull() & (F.col("generation") != F.col("_before") + 1), "generation")
+        .when(~same(want, F.col("refs")), "refs").otherwise("ok")
+    )
+    return joined.withColumn("_moved", moved).withColumn("status", status).drop("_before", "_refs", "_moved")
+
+
 def recovered(certs: DataFrame) -> DataFrame:
     """The newest link common to all valid replicas of each chain; invalid replicas are left out, and `survivor_only` says that one was left."""
     ok = validity(certs).where("valid").select(*KEYS)

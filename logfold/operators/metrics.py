@@ -52,6 +52,34 @@ def exposition(counts: DataFrame, name: str) -> DataFrame:
     return counts.select("service", "operation", "status", line.alias("line"))
 
 
+#: The exposition's families in their order, with name, kind, help and the format of a value.
+FAMILIES = [
+    ("http_requests_total", "counter", "Git smart HTTP requests.", "%d"), ("http_active_requests", "gauge", "Active Git smart HTTP requests.", "%d"), ("http_auth_failures_total", "counter", "Rejected authentication attempts.", "%d"),
+    ("reconcile_total", "counter", "Repository reconciliation attempts.", "%d"), ("reconcile_failures_total", "counter", "Failed repository reconciliations.", "%d"), ("reconcile_seconds_total", "counter", "Time spent reconciling repository caches.", "%.9f"),
+    ("git_backend_total", "counter", "Git backend invocations.", "%d"), ("git_backend_failures_total", "counter", "Failed Git backend invocations.", "%d"), ("git_backend_seconds_total", "counter", "Time spent in Git backend processes.", "%.9f"),
+    ("maintenance_runs_total", "counter", "Repository maintenance attempts.", "%d"), ("maintenance_failures_total", "counter", "Failed repository maintenance attempts.", "%d"),
+    ("compactions_total", "counter", "Completed repository checkpoints.", "%d"), ("garbage_collections_total", "counter", "Completed garbage-collection passes.", "%d"), ("cache_evictions_total", "counter", "Completed local cache evictions.", "%d"),
+    ("scrub_configured", "gauge", "Whether continuous dual-authority scrubbing is configured.", "%d"), ("scrub_healthy", "gauge", "Whether the latest configured durability scrub succeeded.", "%d"), ("scrub_runs_total", "counter", "Completed dual-authority scrub attempts.", "%d"),
+    ("scrub_failures_total", "counter", "Failed dual-authority scrub attempts.", "%d"), ("scrub_seconds_total", "counter", "Time spent performing dual-authority scrubs.", "%.9f"), ("scrub_last_run_timestamp_seconds", "gauge", "Unix timestamp of the last dual-authority scrub attempt.", "%.3f"),
+    ("scrub_last_success_timestamp_seconds", "gauge", "Unix timestamp of the last successful dual-authority scrub.", "%.3f"), ("scrub_generation", "gauge", "Generation verified by the last successful dual-authority scrub.", "%d"),
+    ("last_activity_timestamp_seconds", "gauge", "Unix timestamp of the last authorized Git request.", "%.3f"),
+]
+
+
+def families(values: DataFrame, prefix: str) -> DataFrame:
+    """Exposition lines (place, repository, line) of values (repository and a column for each family but the requests), HELP and TYPE lines first.
+
+    place orders a repository's lines as the families stand; null values count as 0."""
+    spark = values.sparkSession
+    heads = [(2 * k + j, "", f"# {what} {prefix}{name} {text}") for k, (name, kind, help_, _) in enumerate(FAMILIES) for j, (what, text) in enumerate((("HELP", help_), ("TYPE", kind)))]
+    lines = []
+    for k, (name, _, _, form) in enumerate(FAMILIES[1:]):
+        value = F.coalesce(F.col(name).cast("double" if "f" in form else "long"), F.lit(0).cast("double" if "f" in form else "long"))
+        lines.append(F.struct(F.lit(2 * len(FAMILIES) + k).alias("place"), F.format_string(prefix + name + '{repository="%s"} ' + form, F.col("repository"), value).alias("line")))
+    body = values.select("repository", F.explode(F.array(*lines)).alias("l")).select("l.place", "repository", "l.line")
+    return spark.createDataFrame(heads, "place int, repository string, line string").unionByName(body)
+
+
 def joined_failures(df: DataFrame, keys: list[str], message: str) -> DataFrame:
     """All messages of a key, sorted, joined by '; '."""
     return df.groupBy(*keys).agg(F.array_join(F.array_sort(F.collect_list(message)), "; ").alias("failures"))

@@ -71,8 +71,3 @@ def repair_status(reports: DataFrame) -> DataFrame:
 def upserted(have: DataFrame, copies: DataFrame, keys: list[str]) -> DataFrame:
     """have with copies in the place of rows with equal keys."""
     return have.join(copies.select(*keys), keys, "left_anti").unionByName(copies)
-
-
-def bounded(size: Column, least: int, most: int) -> Column:
-    """Whether a size lies in the bounds that a reader allows."""
-    return size.between(least, most)

@@ -1,6 +1,6 @@
 """Queries by area; importing registers them."""
 
-from . import authority, content, log, service
+from . import authority, content, evidence, log, service
 from .registry import ORACLES, QUERIES
 
-__all__ = ["ORACLES", "QUERIES", "authority", "content", "log", "service"]
+__all__ = ["ORACLES", "QUERIES", "authority", "content", "evidence", "log", "service"]

@@ -185,7 +185,7 @@ def admit_batches(spark, d):
     return admission.batch_admission(admission.batch_outcomes(requests))
 
 
-@query()
+@query(f"WITH {fx.UPDATES_SQL} SELECT repo_id, ref, arg_max(new_oid, generation) AS oid FROM updates GROUP BY ALL HAVING trim(arg_max(new_oid, generation), '0') <> ''")
 def stream_commit(spark, d):
     """Commits events in micro-batches to a log table of its own and reads back its head state."""
     from logfold.streaming.commit import replayed
@@ -194,7 +194,8 @@ def stream_commit(spark, d):
     return state.fold(replayed(u, buckets=3))
 
 
-@query()
+@query(f"""WITH {fx.UPDATES_SQL}, t AS (SELECT repo_id, generation, sha256('[{{"old":"' || old_oid || '","new":"' || new_oid || '","ref":"' || ref || '"}}]') AS transaction_id FROM updates)
+    SELECT repo_id, lpad(CAST(generation AS VARCHAR), 20, '0') || '-' || substr(transaction_id, 1, 16) || '.wal' AS file, transaction_id, CAST(1 AS INTEGER) AS n_updates, CAST(length('object ' || generation) AS BIGINT) AS payload_bytes, 'ok' AS status FROM t""")
 def scan_log_files(spark, d):
     """Writes a manifest, entries and certificates in the layout of a log on disk, and scans them back."""
     from logfold.sources import files
