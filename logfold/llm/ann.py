@@ -3,10 +3,11 @@
 BOOKS codebooks of WORDS full-dimensional codewords are fitted on a bounded sample of unit vectors: residual k-means,
 then rounds of beam-search encoding and a joint least-squares update of all codewords. Every row is encoded by beam
 search and stored with its codes and the norm of what they add up to. A search scores codes from a table of query and
-codeword products, divides by the stored norm, and reranks the best RERANK of each batch by the exact cosine.
+codeword products, divides by the stored norm, and reranks the best RERANK of each query in a CHUNK of rows, whatever
+their order, by the exact cosine.
 
-Queries are taken in blocks of about QUERY_BLOCK; a block is sent to all tasks, whose scan of the index never shuffles,
-and each task returns a few rows for each query. Every block is compared with every row.
+Queries are taken in blocks of about QUERY_BLOCK, one job after another; a block is sent to all tasks, whose scan of the
+index never shuffles, and each task returns a few rows for each query. Every block is compared with every row's codes.
 
 Null or zero vectors, those that hold null or non-finite components and those of another length than most take no
 part, nor do rows with a null id. Equal scores rank by id; repeated rows of one id count once. An empty index gives no
@@ -15,6 +16,7 @@ rows. Of other columns only id and vector are kept.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 from math import ceil
 
@@ -23,12 +25,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialise, table
+from .common import materialise, shared_dir, table
 
 BOOKS, WORDS, BEAM = 16, 64, 4
 #: Bound of the fitting sample, first in hash order.
 SAMPLE = 16_384
-QUERY_BLOCK, RERANK = 2048, 256
+QUERY_BLOCK, RERANK, CHUNK = 2048, 512, 65_536
 
 
 def _sq(a: np.ndarray) -> np.ndarray:
@@ -125,41 +127,60 @@ def _better(ids: np.ndarray, scores: np.ndarray, k: int) -> tuple[np.ndarray, np
     return np.take_along_axis(ids, order, 1), np.take_along_axis(scores, order, 1)
 
 
+def _chunks(batches: Iterator[pa.RecordBatch], rows: int) -> Iterator[pa.Table]:
+    """The batches joined until they have `rows` rows; an id comes once in each."""
+    held, n = [], 0
+    for b in batches:
+        held.append(b)
+        n += b.num_rows
+        if n >= rows:
+            yield pa.Table.from_batches(held)
+            held, n = [], 0
+    if n:
+        yield pa.Table.from_batches(held)
+
+
 def _search(shared, k: int, rerank: int, d: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model, q_ids, q = shared.value
-        books, words, _ = model.books.shape
+        books = model.books.shape[0]
         table_ = np.ascontiguousarray(np.einsum("qd,mwd->mqw", q.astype(np.float32), model.books))
         ids = np.full((len(q_ids), k), np.iinfo(np.int64).max)
         scores = np.full((len(q_ids), k), -np.inf)
-        for b in batches:
-            for at in range(0, b.num_rows, 4096):
-                part = b.slice(at, 4096)
-                own = part.column(0).to_numpy()
-                _, first = np.unique(own, return_index=True)
-                order = first[np.argsort(own[first], kind="stable")]
-                part, own = part.take(pa.array(order)), own[order]
-                x = unit(part.column(1).flatten().to_numpy(zero_copy_only=False).reshape(-1, d))
-                codes = np.frombuffer(b"".join(part.column(2).to_pylist()), np.uint8).reshape(-1, books)
-                scale = 1 / np.sqrt(np.maximum(part.column(3).to_numpy(), 1e-12))
-                for lo in range(0, len(q_ids), 512):
-                    hi = min(lo + 512, len(q_ids))
-                    near = table_[0, lo:hi].take(codes[:, 0], axis=1)
+        for chunk in _chunks(batches, CHUNK):
+            own, first = np.unique(chunk.column(0).to_numpy(), return_index=True)
+            chunk = chunk.take(pa.array(first)).combine_chunks()
+            x = unit(chunk.column(1).combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(-1, d))
+            codes = np.frombuffer(b"".join(chunk.column(2).to_pylist()), np.uint8).reshape(-1, books)
+            scale = 1 / np.sqrt(np.maximum(chunk.column(3).to_numpy(), 1e-12))
+            for lo in range(0, len(q_ids), 256):
+                hi = min(lo + 256, len(q_ids))
+                best, where = np.full((hi - lo, 0), 0, np.float32), np.zeros((hi - lo, 0), np.int64)
+                for at in range(0, len(own), 4096):
+                    part = slice(at, at + 4096)
+                    near = table_[0, lo:hi].take(codes[part, 0], axis=1)
                     for m in range(1, books):
-                        near += table_[m, lo:hi].take(codes[:, m], axis=1)
-                    near *= scale
-                    near[q_ids[lo:hi, None] == own[None, :]] = -np.inf
-                    r = min(rerank, near.shape[1])
-                    cut = -np.partition(-near, r - 1, axis=1)[:, r - 1 : r]
-                    above, equal = near > cut, near == cut
-                    pick = above | (equal & (np.cumsum(equal, axis=1) <= r - above.sum(1, keepdims=True)))
-                    where = np.nonzero(pick)[1].reshape(hi - lo, r)
-                    exact = np.einsum("qrd,qd->qr", x[where], q[lo:hi])
-                    exact = np.where(np.isneginf(np.take_along_axis(near, where, 1)), -np.inf, exact)
-                    keep = np.lexsort((own[where], -exact), axis=1)[:, :k]
-                    both_i = np.concatenate([ids[lo:hi], np.take_along_axis(own[where], keep, 1)], axis=1)
-                    both_s = np.concatenate([scores[lo:hi], np.take_along_axis(exact, keep, 1)], axis=1)
-                    ids[lo:hi], scores[lo:hi] = _better(both_i, both_s, k)
+                        near += table_[m, lo:hi].take(codes[part, m], axis=1)
+                    near *= scale[part]
+                    near[q_ids[lo:hi, None] == own[None, part]] = -np.inf
+                    both = np.concatenate([best, near], axis=1)
+                    place = np.concatenate([where, np.broadcast_to(np.arange(at, at + near.shape[1]), near.shape)], axis=1)
+                    if both.shape[1] > rerank:
+                        # Of equal scores the smaller ids are kept; places stand in their order.
+                        cut = -np.partition(-both, rerank - 1, axis=1)[:, rerank - 1 : rerank]
+                        above, equal = both > cut, both == cut
+                        pick = above | (equal & (np.cumsum(equal, axis=1) <= rerank - above.sum(1, keepdims=True)))
+                        both, place = both[pick].reshape(hi - lo, rerank), place[pick].reshape(hi - lo, rerank)
+                    best, where = both, place
+                for at in range(0, hi - lo, 32):
+                    own_rows = slice(lo + at, min(lo + at + 32, hi))
+                    pick = where[at : at + 32]
+                    exact = np.einsum("qrd,qd->qr", x[pick], q[own_rows])
+                    exact = np.where(np.isneginf(best[at : at + 32]), -np.inf, exact)
+                    keep = np.lexsort((own[pick], -exact), axis=1)[:, :k]
+                    both_i = np.concatenate([ids[own_rows], np.take_along_axis(own[pick], keep, 1)], axis=1)
+                    both_s = np.concatenate([scores[own_rows], np.take_along_axis(exact, keep, 1)], axis=1)
+                    ids[own_rows], scores[own_rows] = _better(both_i, both_s, k)
         row, col = np.nonzero(~np.isneginf(scores))
         yield pa.RecordBatch.from_arrays([pa.array(q_ids[row]), pa.array(ids[row, col]), pa.array(scores[row, col])], names=["query_id", "vec_id", "score"])
 
@@ -188,18 +209,17 @@ def search(index: DataFrame, model: Quantiser, queries: DataFrame, k: int = 5, r
     """(query_id, rank, vec_id, score): the k rows of the index nearest to each query (id, v), itself left out."""
     spark, d = index.sparkSession, model.books.shape[2]
     blocks = max(1, ceil(queries.count() / QUERY_BLOCK))
-    found = None
+    folder, schema = f"{shared_dir(spark)}/found-{uuid.uuid4().hex}", "query_id long, vec_id long, score double"
+    spark.createDataFrame([], schema).write.parquet(folder)
     for b in range(blocks):
         got = queries.where(F.pmod(F.xxhash64("id"), F.lit(blocks)) == b).dropDuplicates(["id"]).orderBy("id").toArrow()
         if not got.num_rows:
             continue
         x = got.column("v").combine_chunks().flatten().to_numpy().reshape(-1, d)
         shared = spark.sparkContext.broadcast((model, got.column("id").to_numpy(), unit(x)))
-        part = index.mapInArrow(_search(shared, k, rerank, d), "query_id long, vec_id long, score double")
-        found = part if found is None else found.unionByName(part)
-    if found is None:
-        found = spark.createDataFrame([], "query_id long, vec_id long, score double")
-    best = found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
+        index.mapInArrow(_search(shared, k, rerank, d), schema).write.mode("append").parquet(folder)
+        shared.destroy()
+    best = spark.read.schema(schema).parquet(folder).groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     return best.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
