@@ -12,8 +12,6 @@ of their own; a null item id counts as empty text. Of other columns only the id
 
 from __future__ import annotations
 
-from math import ceil
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -21,7 +19,7 @@ from .common import materialise, table
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 WINDOW, SHINGLE = 13, 5
-#: Rows that may be broadcast at once; larger sides are joined block by block.
+#: Rows of shingles or prefixes up to which a side is broadcast (a prefix takes some hundred bytes); larger ones are joined by a shuffle.
 BROADCAST_ROWS = 200_000
 
 
@@ -45,11 +43,6 @@ def _positions(docs: DataFrame, lengths: list[int]) -> DataFrame:
     return placed.select("*", F.posexplode(F.array(*keys)).alias("k", "key"))
 
 
-def _blocks(side: DataFrame, rows: int) -> list[DataFrame]:
-    n = max(1, ceil(rows / BROADCAST_ROWS))
-    return [side if n == 1 else side.where(F.pmod("key", F.lit(n)) == b) for b in range(n)]
-
-
 def window_hits(docs: DataFrame, items: DataFrame, id_col: str, text_col: str, item_col: str, item_text_col: str, window: int = WINDOW) -> tuple[DataFrame, DataFrame]:
     """(hits, windows): hits has rid, id, n_words, start, len, wid, and for each document one row of len 0; windows has wid, items."""
     spark = docs.sparkSession
@@ -66,27 +59,30 @@ def window_hits(docs: DataFrame, items: DataFrame, id_col: str, text_col: str, i
 
     plain = docs.select(F.col(id_col).alias("id"), words(F.col(text_col)).alias("words"))
     keys = shingles.select("key").distinct()
-    counted = None
-    for block in _blocks(keys, shingles.count()):
-        n = _positions(plain.select("words"), lengths).select("key").join(F.broadcast(block), "key").groupBy("key").agg(F.count("*").alias("n"))
-        counted = n if counted is None else counted.unionByName(n)
+    positions = _positions(plain.select("words"), lengths).select("key")
+    if shingles.count() <= BROADCAST_ROWS:
+        counted = positions.join(F.broadcast(keys), "key").groupBy("key").agg(F.count("*").alias("n"))
+    else:
+        counted = positions.groupBy("key").agg(F.count("*").alias("n"))
     rarest = F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "key", "off")).alias("p")
     prefix = shingles.join(counted, "key", "left").groupBy("wid").agg(rarest).where("p.n > 0").select("wid", "p.key", "p.off")
     prefix = materialise(prefix.join(windows.select("wid", "win"), "wid"), "prefixes")
 
-    blocks = _blocks(prefix, prefix.count())
     numbered = plain.withColumn("rid", F.monotonically_increasing_id())
-    if len(blocks) > 1:
-        numbered = materialise(numbered, "numbered")
-    hits = None
     n, start = F.size("words"), F.col("at") - F.col("off")
     bounded = (start >= 0) & (start + F.size("win") <= n)
     exact = F.when(bounded, F.slice("words", start + 1, F.size("win")) == F.col("win"))
-    for b, block in enumerate(blocks):
-        joined = _positions(numbered, lengths).join(F.broadcast(block), "key", "left" if b == 0 else "inner")
-        kept = exact if b else F.coalesce(exact, F.lit(False)) | ((F.col("at") == n) & (F.col("k") == 0) & F.col("wid").isNull())
-        found = joined.where(kept).select("rid", "id", n.alias("n_words"), F.coalesce(start, F.col("at")).alias("start"), F.coalesce(F.size("win"), F.lit(0)).alias("len"), "wid")
-        hits = found if hits is None else hits.unionByName(found)
+    found = [F.col("rid"), F.col("id"), n.alias("n_words"), F.coalesce(start, F.lit(0)).alias("start"), F.coalesce(F.size("win"), F.lit(0)).alias("len"), F.col("wid")]
+    if prefix.count() <= BROADCAST_ROWS:
+        # The place behind the last word stands for the document itself: one row of it stays, without a window.
+        joined = _positions(numbered, lengths).join(F.broadcast(prefix), "key", "left")
+        hits = joined.where(F.coalesce(exact, F.lit(False)) | ((F.col("at") == n) & (F.col("k") == 0) & F.col("wid").isNull())).select(found)
+    else:
+        # Places meet prefixes by a shuffle of keys alone; the words are joined to the few that do. Skewed keys are split as Spark splits skewed joins.
+        numbered = materialise(numbered, "numbered")
+        places = _positions(numbered, lengths).select("rid", "at", "key").join(prefix.select("key", "wid", "off"), "key").select("rid", "at", "wid", "off")
+        near = places.join(numbered, "rid").join(prefix.select("wid", "win"), "wid").where(exact).select(found)
+        hits = near.unionByName(numbered.select("rid", "id", n.alias("n_words"), F.lit(0).alias("start"), F.lit(0).alias("len"), F.lit(None).cast("long").alias("wid")))
     return materialise(hits, "hits"), windows.select("wid", "items")
 
 
