@@ -5,29 +5,32 @@ have equal anchors, so it suffices to compare windows of one anchor. Consecutive
 (about 85 windows). Blocks that are equal as a whole repeat all their windows; only where an anchor has different
 blocks are the bytes of one copy of each gathered, in shards by anchor, and indexed.
 
-A shard's index is the run-compressed Burrows-Wheeler transform of its blocks with the suffix array sampled at the
-ends of runs. From the samples alone the text positions before and after each position in suffix order follow, and
-streaming these over the text gives each position's match with the nearest other one: it repeats if LENGTH bytes agree.
+A shard's index is the run-compressed Burrows-Wheeler transform of its blocks with the suffix array and the common
+prefixes sampled at the ends of runs. From the samples alone follow, position after position of the text, its neighbours
+in suffix order and how long it agrees with them: its matching statistics. It repeats if that is LENGTH or more.
 
 An anchor with more than HOT different blocks goes by the hashes of its windows instead, counted in a shuffle on the
 hash, so that no shard grows with it; the windows found are the same.
 
-Strings never cross documents. Null texts are empty and, like texts under LENGTH bytes, lose nothing unless they hold
-repeats within. Texts of any length are handled whole, repeated rows are copies. Of other columns only the id is kept.
+Rows are numbered in the order of the scan; a table that isn't read from files directly is written out with its
+numbers first, so that they are the same wherever a task runs again.
+
+Strings never cross documents. Null texts are empty and, like texts under LENGTH bytes, lose nothing. Ids must be
+integers. Ties: all places of a repeated string lose it. Texts of any length are handled whole, repeated rows are copies. Of other columns only the id is kept.
 """
 
 from __future__ import annotations
 
-import gc
 import hashlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise, table
+from .common import materialise, remove, table
 from .textbuf import raw, run_hashes
 
 LENGTH, SEED = 200, 32
@@ -126,24 +129,35 @@ class RunLengthIndex:
         separator[ends] = True
         before[separator[self.order - 1]] = -1
         head = np.append(True, (before[1:] != before[:-1]) | (before[1:] < 0))
-        self.symbols = before[head]
         first = np.flatnonzero(head)
         last = np.append(first[1:], len(before)) - 1
-        self.lengths = last - first + 1
-        # Sampled at the text positions of each run's first and last symbol: the neighbours there in suffix order.
+        self.runs = len(first)
         rank = np.empty(len(self.text), np.int64)
         rank[self.order] = np.arange(len(self.text))
         up, down = self.order[first] - 1, self.order[last] - 1
         up, down = np.where(up < 0, len(rank) - 1, up), np.where(down < 0, len(rank) - 1, down)
-        self.up_at, self.up_to = self._sampled(up, self.order[np.maximum(rank[up] - 1, 0)])
-        self.down_at, self.down_to = self._sampled(down, self.order[np.minimum(rank[down] + 1, len(rank) - 1)])
-        self.crossed = np.concatenate([[0], np.cumsum(separator)])
+        self.left = np.repeat(ends, np.diff(np.concatenate([[-1], ends]))) - np.arange(len(self.text))
+        self.up = self._sampled(up, self.order[np.maximum(rank[up] - 1, 0)])
+        self.down = self._sampled(down, self.order[np.minimum(rank[down] + 1, len(rank) - 1)])
         self.order = None
 
-    @staticmethod
-    def _sampled(at: np.ndarray, to: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    def _sampled(self, at: np.ndarray, to: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Samples by text position: the position, its neighbour in suffix order, and the bytes they share, counted up to LENGTH."""
         by = np.argsort(at)
-        return at[by], to[by]
+        at, to = at[by], to[by]
+        padded = np.concatenate([self.text, np.zeros(LENGTH + 16, np.uint8)])
+        words = np.ndarray((len(self.text) + LENGTH + 8,), "<u8", padded, strides=(1,))
+        shared, open_ = np.zeros(len(at), np.int64), np.arange(len(at))
+        for k in range(0, LENGTH, 8):
+            differs = words[at[open_] + k] ^ words[to[open_] + k]
+            stop = differs != 0
+            low = differs[stop] & (~differs[stop] + np.uint64(1))  # its lowest set bit
+            shared[open_[stop]] = k + np.log2(low.astype(np.float64)).astype(np.int64) // 8
+            open_ = open_[~stop]
+            if not len(open_):
+                break
+        shared[open_] = LENGTH
+        return at, to, shared
 
     def _suffixes(self, ends: np.ndarray) -> np.ndarray:
         """The suffix array by prefix doubling from seven symbols on; separators are below all bytes."""
@@ -165,30 +179,33 @@ class RunLengthIndex:
             key[:-width] += rank[width:] + 1
             width *= 2
 
-    def neighbours(self, position: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """The text positions just before and just after each position in suffix order, from the samples at run ends.
+    def neighbours(self) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """For the suffix before and the suffix after each text position: where it starts, and the bytes both share, counted up to LENGTH at least.
 
-        Within a run, the neighbour of the position to the left is the one to the left of the neighbour, so the nearest
-        sample at or after a position leads back to its own neighbour."""
-        out = []
-        for at, to in ((self.up_at, self.up_to), (self.down_at, self.down_to)):
-            k = np.minimum(np.searchsorted(at, position), len(at) - 1)
-            out.append(to[k] - (at[k] - position))
-        return out[0], out[1]
+        Within a run, the neighbour of the position to the left is the one to the left of the neighbour, and they share
+        one byte more; so the nearest sample at or after a position leads back to its own neighbour."""
+        n = len(self.text)
+        for at, to, shared in (self.up, self.down):
+            k = np.repeat(np.arange(len(at)), np.diff(np.concatenate([[-1], at])))
+            back = np.full(n, -1)
+            back[: len(k)] = at[k] - np.arange(len(k))
+            k = np.concatenate([k, np.full(n - len(k), len(at) - 1)])
+            q = to[k] - back
+            yield q, np.where((back >= 0) & (q >= 0), shared[k] + back, 0)
+
+    def matching_statistics(self) -> np.ndarray:
+        """The longest match of each text position with another one, not across texts; counted up to LENGTH at least."""
+        n = len(self.text)
+        longest = np.zeros(n, np.int64)
+        for q, shared in self.neighbours():
+            ok = np.flatnonzero((shared > 0) & (q < n) & (q != np.arange(n)))
+            own = np.minimum(shared[ok], np.minimum(self.left[ok], self.left[q[ok]]))
+            longest[ok] = np.maximum(longest[ok], own)
+        return longest
 
     def repeated(self, length: int) -> np.ndarray:
         """Whether the `length` bytes at each position of the text also start elsewhere in it."""
-        n = len(self.text)
-        p = np.arange(n)
-        h = np.zeros(n, np.uint64)
-        whole = max(0, n - length + 1)
-        h[:whole] = run_hashes(self.text, p[:whole], p[:whole] + length)
-        out = np.zeros(n, bool)
-        for q in self.neighbours(p):
-            fits = np.flatnonzero((q >= 0) & (q < whole) & (p < whole) & (q != p))
-            inside = self.crossed[q[fits] + length] == self.crossed[q[fits]]
-            out[fits] |= inside & (h[fits] == h[q[fits]])
-        return out
+        return self.matching_statistics() >= length
 
 
 def _ranges(flags: np.ndarray) -> list[tuple[int, int]]:
@@ -247,15 +264,8 @@ def _remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([b.column(0), pa.array(np.diff(off)), pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int64()), pa.array([r[2] for r in rows])], names=["id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
 
-def _free(spark) -> None:
-    """Lets Spark drop the shuffle files of finished jobs now."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
-
-
 def repeated_spans(docs: DataFrame) -> DataFrame:
-    """(rid, s, e): byte spans of docs (rid, text) that LENGTH-byte strings cover that start elsewhere too; they may overlap."""
-    spark = docs.sparkSession
+    """(rid, spans): byte spans (s, e) of docs (rid, text) that LENGTH-byte strings cover that start elsewhere too; they may overlap."""
     rows = materialise(docs.select("rid", "text").mapInArrow(_scan, ROWS), "anchors")
     blocks = rows.groupBy("kmer", "block").agg(F.count("*").alias("copies"), F.min(F.struct("rid", "lo", "n")).alias("one"))
     blocks = materialise(blocks.select("kmer", "block", "copies", "one.rid", "one.lo", "one.n"), "blocks")
@@ -264,22 +274,33 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
     wanted = wanted.groupBy("rid").agg(F.collect_list("w").alias("wanted"))
     contexts = docs.select("rid", "text").join(wanted, "rid").select("text", "wanted").mapInArrow(_cut_contexts, "kmer long, block long, n int, hot boolean, context binary")
     contexts = materialise(contexts, "contexts")
-    _free(spark)
     found = contexts.where(~F.col("hot")).select("kmer", "block", "context").repartition("kmer").sortWithinPartitions("kmer", "block").mapInArrow(_index_shards, FOUND)
     hashed = contexts.where("hot").select("kmer", "block", "context").mapInArrow(_window_hashes, "kmer long, block long, a int, h long")
     twice = hashed.groupBy("h").agg(F.count("*").alias("k")).where("k > 1").select("h")
     found = found.unionByName(hashed.join(twice, "h").select("kmer", "block", "a", F.col("a").alias("z")))
     found = found.unionByName(blocks.where("copies > 1").select("kmer", "block", F.lit(0).alias("a"), (F.col("n") - 1).alias("z")))
     found = materialise(found, "found")
-    _free(spark)
-    return rows.join(found, ["kmer", "block"]).select("rid", (F.col("lo") + F.col("a")).alias("s"), (F.col("lo") + F.col("z") + LENGTH).alias("e"))
+    remove(contexts, blocks)
+    spans = rows.join(found, ["kmer", "block"]).select("rid", (F.col("lo") + F.col("a")).alias("s"), (F.col("lo") + F.col("z") + LENGTH).alias("e"))
+    spans = materialise(spans.groupBy("rid").agg(F.collect_list(F.struct("s", "e")).alias("spans")), "spans")
+    remove(rows, found)
+    return spans
+
+
+def _numbered(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(rid, id, text): rows with numbers that stay the same in every job."""
+    docs = df.select(F.monotonically_increasing_id().alias("rid"), F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    try:
+        df.select("_metadata.row_index")  # only a scan of files has it, and its partitions are planned alike each time
+    except AnalysisException:
+        return materialise(docs, "numbered")
+    return docs
 
 
 def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row a document: id, n_bytes, n_removed, n_spans, kept_sha256 (of the remaining bytes)."""
-    docs = df.select(F.monotonically_increasing_id().alias("rid"), F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    spans = materialise(repeated_spans(docs).groupBy("rid").agg(F.collect_list(F.struct("s", "e")).alias("spans")), "spans")
-    _free(df.sparkSession)
+    docs = _numbered(df, id_col, text_col)
+    spans = repeated_spans(docs.select("rid", "text"))
     return docs.join(spans, "rid", "left").select("id", "text", "spans").mapInArrow(_remove, "id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string").withColumnRenamed("id", id_col)
 
 

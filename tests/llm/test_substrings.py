@@ -67,4 +67,33 @@ def test_index_equals_counting():
         for x in texts:
             assert flags[at : at + max(0, len(x) - 11)].tolist() == [seen[x[i : i + 12]] > 1 for i in range(len(x) - 11)]
             at += len(x) + 1
-        assert index.lengths.sum() == len(index.text) and len(index.symbols) == len(index.lengths)
+        assert len(index.up[0]) == len(index.down[0]) == index.runs <= len(index.text)
+
+
+def test_matching_statistics_equal_brute_force():
+    g = random.Random(7)
+    for _ in range(8):
+        base = "".join(g.choice("ab\0") for _ in range(60))
+        texts = [(base[g.randrange(40) :] + "".join(g.choice("abc") for _ in range(g.randrange(40)))).encode() for _ in range(4)]
+        index = ss.RunLengthIndex(texts)
+        got_, at = index.matching_statistics(), 0
+        every = [x[i:] for x in texts for i in range(len(x))]
+        for x in texts:
+            for i in range(len(x)):
+                own = x[i:]
+                best, skipped = 0, False
+                for y in every:
+                    if y is own or (not skipped and y == own):
+                        skipped = True
+                        continue
+                    n = next((k for k, (a, b) in enumerate(zip(own, y, strict=False)) if a != b), min(len(own), len(y)))
+                    best = max(best, n)
+                assert got_[at + i] == best
+            at += len(x) + 1
+
+
+def test_numbers_survive_shuffled_inputs(make, spark):
+    """A table that no scan gives is written out with its numbers."""
+    rows = corpus(random.Random(8))
+    df = make(rows).repartition(5).orderBy("text")
+    assert got(df) == brute(rows)
