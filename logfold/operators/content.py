@@ -32,11 +32,20 @@ def missing(chunks: DataFrame, existing: DataFrame) -> DataFrame:
     return chunks.dropDuplicates(["digest"]).join(existing.select("digest"), "digest", "left_anti")
 
 
-def reassembled(chunks: DataFrame, keys: list[str]) -> DataFrame:
-    """Digest and length of each object's chunks in order."""
-    parts = F.array_sort(F.collect_list(F.struct("ordinal", "data")))
-    whole = F.array_join(F.transform(parts, lambda p: p["data"]), "")
-    return chunks.groupBy(*keys).agg(sha(whole).alias("digest"), F.sum("bytes").alias("bytes"), F.count("*").alias("n_chunks"))
+def reassembled(chunks: DataFrame, keys: list[str], objects: DataFrame | None = None) -> DataFrame:
+    """Digest and length of each object's chunks in order, of text or binary data.
+
+    objects, if given, has all keys: one without chunks is empty, and has the digest of nothing. An object's chunks meet
+    in one row, so it must fit into one value (2 GB)."""
+    parts = F.transform(F.array_sort(F.collect_list(F.struct("ordinal", "data"))), lambda p: p["data"])
+    binary = dict(chunks.dtypes)["data"] == "binary"
+    # Binary values are joined as hexadecimal text, which keeps every byte.
+    whole = F.unhex(F.array_join(F.transform(parts, F.hex), "")) if binary else F.array_join(parts, "")
+    made = chunks.groupBy(*keys).agg(sha(whole).alias("digest"), F.sum("bytes").alias("bytes"), F.count("*").alias("n_chunks"))
+    if objects is None:
+        return made
+    zero = lambda c: F.coalesce(c, F.lit(0).cast("long")).alias(c)
+    return objects.select(*keys).join(made, keys, "left").select(*keys, F.coalesce("digest", sha(F.lit(""))).alias("digest"), zero("bytes"), zero("n_chunks"))
 
 
 def placement(total: Column) -> Column:

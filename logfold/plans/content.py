@@ -37,10 +37,11 @@ def chunk_put_plan(spark, d):
     return content.missing(c.select("digest", "bytes"), c.where("doc_id % 3 = 0").select("digest").distinct()).select("digest", "bytes")
 
 
-@query("SELECT doc_id, sha256(text) AS digest, CAST(strlen(text) AS BIGINT) AS bytes, CAST(ceil(length(text) / 8192.0) AS BIGINT) AS n_chunks, true AS matches FROM documents WHERE length(text) > 0")
+@query("SELECT doc_id, sha256(coalesce(text, '')) AS digest, CAST(strlen(coalesce(text, '')) AS BIGINT) AS bytes, CAST(ceil(length(coalesce(text, '')) / 8192.0) AS BIGINT) AS n_chunks, true AS matches FROM documents")
 def object_reassemble_verify(spark, d):
-    whole = content.reassembled(chunks(spark, d), ["doc_id"])
-    docs = fx.table(spark, d, "documents").select("doc_id", ident.sha(F.col("text")).alias("want"))
+    """Every document, also an empty one; a null text is empty."""
+    docs = fx.table(spark, d, "documents").select("doc_id", ident.sha(F.coalesce("text", F.lit(""))).alias("want"))
+    whole = content.reassembled(chunks(spark, d), ["doc_id"], docs)
     return whole.join(docs, "doc_id").select("doc_id", "digest", "bytes", "n_chunks", (F.col("digest") == F.col("want")).alias("matches"))
 
 

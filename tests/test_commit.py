@@ -148,3 +148,20 @@ def test_manifest_and_certificate_list_every_entry(spark):
     for m in files.scan_manifests(spark, root).collect():
         assert [e.generation for e in m.entries] == list(range(1, 13)) and certs[m.repository_id] == {"generation": 12, "entries": [e.transaction_id for e in m.entries]}
         assert all(entries[m.repository_id, e.file].payload_bytes == e.payload_bytes for e in m.entries)
+
+
+def test_checkpoints_and_metadata_by_stream(spark):
+    refs = spark.createDataFrame([("r", 7, "refs/a", "1" * 40), ("r", 7, "refs/b", "2" * 40), ("s", 9, "refs/a", "3" * 40)], "repo_id string, generation long, ref string, oid string")
+    root = files.write_checkpoints(refs, spark)
+    meta = json.dumps({"generation": 3, "refs": {}}).encode()
+    bad = {"t/00000000000000000004.checkpoint": {"checkpoint.json": meta}, "t/00000000000000000003.checkpoint": {"checkpoint.json": meta, "objects/../x": b""}, "t/00000000000000000002.checkpoint": {"objects/x": b""}, "t/latest.checkpoint": {"checkpoint.json": meta}}
+    for name, members in bad.items():
+        hadoop.create(spark, f"{root}/{name}", files.packed(members))
+    hadoop.create(spark, f"{root}/t/00000000000000000001.checkpoint", b"junk" * 200)
+    got = {(r.repo_id, r.file.split(".")[0][-1]): (r.generation, r.n_refs, r.n_objects, r.status) for r in files.scan_checkpoints(spark, root).collect()}
+    assert got == {("r", "7"): (7, 2, 1, "ok"), ("s", "9"): (9, 1, 1, "ok"), ("t", "4"): (3, 0, 0, "generation-mismatch"), ("t", "3"): (None, None, None, "unsafe-path"), ("t", "2"): (None, None, None, "missing-metadata"), ("t", "t"): (3, 0, 0, "ok"), ("t", "1"): (None, None, None, "corrupt")}
+    blobs = [{"path": "objects/x", "blob": {"bytes": 11}}, {"path": "objects/y", "blob": {"bytes": 4}}]
+    hadoop.create(spark, f"{root}/u/a.wal", files.archive("tx", "", [], {"objects/x": b"x" * 100_000}, blobs, "d" * 64))
+    hadoop.create(spark, f"{root}/u/b.wal", files.packed({"objects/x": b""}))
+    got = {r.file: (r.transaction_id, r.payload_bytes, r.descriptor, r.status) for r in files.scan_entry_details(spark, root).collect()}
+    assert got == {"a.wal": ("tx", 15, "d" * 64, "ok"), "b.wal": (None, None, None, "missing-metadata")}

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from logfold.functions import durations, ident
-from logfold.operators import admission, chain, content, maintain, metrics, policy, state
+from logfold.operators import admission, chain, content, maintain, metrics, policy, scrub, state
 from logfold.sources.text import parse_refs, parse_updates
 
 Z = "0" * 40
@@ -195,6 +195,31 @@ def test_chunks_of_bytes_and_text(spark):
     assert [r.bytes for r in rows][-1] == 600
 
 
+def test_objects_come_back_whole(spark):
+    data = [(1, bytes(range(256)) * 9), (2, b""), (3, None), (4, b"\0\xff")]
+    df = spark.createDataFrame(data, "id long, data binary")
+    got = {r.id: (r.digest, r.bytes, r.n_chunks) for r in content.reassembled(content.chunked(df, size=1000), ["id"], df).collect()}
+    assert got == {i: (hashlib.sha256(x or b"").hexdigest(), len(x or b""), -(-len(x or b"") // 1000)) for i, x in data}
+
+
+def test_entries_refs_and_errors(spark):
+    """The first failing check of an entry, refs along a chain, and classes of errors, row by row."""
+    moves = [{"old": Z, "new": oid("1"), "ref": "a\tb"}]
+    tx = hashlib.sha256(json.dumps(moves, separators=(",", ":")).encode()).hexdigest()
+    kind = "array<struct<old:string,new:string,ref:string>>"
+    entries = spark.createDataFrame([("r", i, f"d{i}", tx, moves, 5) for i in range(6)], f"repo_id string, tx long, descriptor string, transaction_id string, updates {kind}, payload_bytes long")
+    other = [{**moves[0], "ref": "x"}]
+    found = [("d0", tx, moves, 5, None), ("d1", tx, moves, 6, None), ("d2", "no", moves, 5, None), ("d3", tx, moves, 5, "d0"), ("d4", hashlib.sha256(json.dumps(other, separators=(",", ":")).encode()).hexdigest(), other, 5, None)]
+    descriptors = spark.createDataFrame(found, f"digest string, transaction_id string, updates {kind}, payload_bytes long, points_to string")
+    got = {r.tx: r.status for r in scrub.verified_entries(entries, descriptors).collect()}
+    assert got == {0: "ok", 1: "payload", 2: "identity", 3: "nested", 4: "identity", 5: "descriptor"}
+    links = [("a", None, 1, {"x": "1"}, [("x", "1")]), ("b", "a", 2, {"y": "2"}, [("x", Z), ("y", "3"), ("y", "2")]), ("c", "b", 4, {"y": "2"}, []), ("d", "gone", 5, {}, []), ("e", "b", 3, {"y": "9"}, [])]
+    certs = spark.createDataFrame([("r", *x) for x in links], "repo_id string, digest string, previous string, generation long, refs map<string,string>, updates array<struct<ref:string,new:string>>")
+    assert {r.digest: r.status for r in chain.refs_along(certs, ["repo_id"]).collect()} == {"a": "ok", "b": "ok", "c": "generation", "d": "parent", "e": "refs"}
+    errors = spark.createDataFrame([("NoSuchKey", None), (None, 412), ("Slow", 409), (None, None)], "code string, status int")
+    assert [r[0] for r in errors.select(ident.error_class(F.col("code"), F.col("status"))).collect()] == ["not_found", "precondition", "conflict", "other"]
+
+
 def test_nearest_rank(spark):
     s = metrics.latency_summary(spark.createDataFrame([(1, v * 1000) for v in (4, 1, 3, 2)], "k int, micros long"), ["k"]).first()
     assert (s.n, s.mean_ms, s.p50_ms, s.p90_ms, s.max_ms) == (4, 2.5, 3.0, 4.0, 4.0)
