@@ -89,9 +89,13 @@ def safe_object_path(path: Column) -> Column:
     return path.startswith("objects/") & ~below.startswith("/") & (walked["least"] >= 0) & (walked["depth"] > 0)
 
 
-def transient(path: Column) -> Column:
-    """Lock, keep and temporary files of an object folder; prefixes and suffixes are fixed values."""
-    return F.element_at(F.split(path, "/"), -1).rlike(r"(\.keep|\.lock|\.tmp)$|^tmp_obj_|^\.log-object-")
+def transient(path: Column, own: tuple[str, ...] = ()) -> Column:
+    """Lock, keep and temporary files of an object folder (fixed values); own are further prefixes, those of the log that wrote it."""
+    name = F.element_at(F.split(path, "/"), -1)
+    found = name.rlike(r"(\.keep|\.lock|\.tmp)$|^tmp_obj_")
+    for prefix in own:
+        found = found | F.startswith(name, F.lit(prefix))
+    return found
 
 
 def certificate_name(generation: Column, digest: Column) -> Column:
