@@ -38,7 +38,7 @@ CLASSES, RARE = WIDTH * WIDTH, WIDTH - 1
 HEAD = 200_000
 #: Of 8 parts of the training texts, by hash, those that each round takes.
 ROUNDS = ((0, 1), (2, 3, 4, 5, 6, 7))
-STEP, BLOCK = 0.5, 8192
+STEP, BLOCK = 1.0, 16384
 #: Parts that one task adds up, and rows of weights in a piece.
 FAN, PIECE = 64, 512
 END, PAD = np.uint64(0x1F83D9ABFB41BD6B), np.uint64(0x5BE0CD19137E2179)
@@ -99,15 +99,18 @@ def _row_sums(g: np.ndarray, row: np.ndarray) -> tuple[np.ndarray, np.ndarray, n
     """(distinct rows, the sum of g's rows that have each, how many)."""
     order = np.argsort(row.astype(np.uint16) if row.max() < 1 << 16 else row, kind="stable")
     r = row[order]
-    at = np.flatnonzero(np.append(True, r[1:] != r[:-1]))
+    at = np.flatnonzero(np.concatenate([[True], r[1:] != r[:-1]]))
     size = np.diff(np.append(at, len(r)))
-    by = np.argsort(255 - np.minimum(size, 255).astype(np.uint8), kind="stable")
+    few = np.minimum(size, 17).astype(np.uint8)
+    by = np.argsort(17 - few, kind="stable")
     at, size = at[by], size[by]
+    more = len(size) - np.cumsum(np.bincount(few, minlength=18))  # rows with more than k
     total = g.take(order[at], axis=0)
-    for k in range(1, min(16, int(size.max()))):
-        m = int(np.searchsorted(-np.minimum(size, 255), -k))
-        total[:m] += g.take(order[at[:m] + k], axis=0)
-    for s in range(int(np.searchsorted(-np.minimum(size, 255), -16))):
+    for k in range(1, 16):
+        if not more[k]:
+            break
+        total[: more[k]] += g.take(order[at[: more[k]] + k], axis=0)
+    for s in range(more[16]):
         total[s] += g.take(order[at[s] + 16 : at[s] + size[s]], axis=0).sum(0)
     return r[at], total, size
 
@@ -195,7 +198,7 @@ class Trainer:
     def __init__(self, model: Model):
         self.m, self.start = copy.copy(model), model.weights
         self.m.weights = [w.copy() for w in model.weights]
-        self.seen = [np.full(len(w), 1e-3, np.float32) for w in model.weights]
+        self.seen = [np.zeros(len(w), np.float32) for w in model.weights]
 
     def step(self, event: np.ndarray, features: list[np.ndarray]) -> None:
         for k, rows, want, g, over in self.m.factors(event, features):
@@ -203,16 +206,16 @@ class Trainer:
             g[np.arange(len(event)), want] -= 1
             for j, row in enumerate(rows):
                 r, total, n = _row_sums(g, row)
-                seen = self.seen[k * FEATURES + j]
-                before = seen.take(r) + np.einsum("ij,ij->i", total, total) / n
-                seen[r] = before
-                total *= (STEP / np.sqrt(before * n)).astype(np.float32)[:, None]
-                weight = self.m.weights[k * FEATURES + j]
-                weight[r] = weight.take(r, axis=0) - total
+                seen, weight = self.seen[k * FEATURES + j], self.m.weights[k * FEATURES + j]
+                times = seen.take(r) + n
+                seen[r] = times
+                total *= (-STEP / np.sqrt(times * n)).astype(np.float32)[:, None]
+                total += weight.take(r, axis=0)
+                weight[r] = total
 
     def change(self) -> tuple[np.ndarray, np.ndarray]:
         """(what was added to each row of weights, factor after factor; which rows were touched)."""
-        return np.concatenate([w - v for w, v in zip(self.m.weights, self.start, strict=True)]), np.concatenate(self.seen) > 1.5e-3
+        return np.concatenate([w - v for w, v in zip(self.m.weights, self.start, strict=True)]), np.concatenate(self.seen) > 0
 
 
 def _train(shared):
