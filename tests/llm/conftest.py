@@ -2,7 +2,7 @@ import pytest
 from pyspark.sql.types import LongType, StringType, StructField, StructType
 
 #: Columns with names that operators use inside themselves.
-EXTRA = ["rid", "id", "words", "key", "score__", "n", "label"]
+EXTRA = ["rid", "id", "words", "key", "n", "label", "score", "lang_pred", "findings", "class_id", "digest", "sequence_id", "offset", "v"]
 
 
 @pytest.fixture(scope="session")
@@ -14,5 +14,5 @@ def make(spark):
 
 @pytest.fixture(scope="session")
 def odd():
-    """Null, empty and very long texts, repeated rows, ties and null ids."""
-    return [(1, None), (2, ""), (3, "plain words here " * 20_000), (4, "same text of some words here"), (5, "same text of some words here"), (6, "a"), (6, "a"), (None, "no id but words"), (7, "\0\x1c é 日本 ñ" * 30)]
+    """Null, empty and very long texts (over a megabyte, the size of a segment), repeated rows, ties and null ids."""
+    return [(1, None), (2, ""), (3, "plain words here " * 70_000), (4, "same text of some words here"), (5, "same text of some words here"), (6, "a"), (6, "a"), (None, "no id but words"), (7, "\0\x1c é 日本 ñ" * 30)]
