@@ -2,23 +2,18 @@
 
 from __future__ import annotations
 
-from importlib import import_module
+from . import ann, decontaminate, langid, lm, neardup, packing, pipeline, quality, secrets, substrings, toxicity
 
 _QUERIES = {
-    "op1_secret_scan": "secrets", "op2_packing": "packing", "op3_quality": "quality", "op4_decontamination": "decontaminate",
-    "op5_ann": "ann", "op6_suffix_dedup": "substrings", "op7_toxicity": "toxicity", "op8_lm": "lm", "op9_minhash": "neardup", "op10_langid": "langid",
+    "op1_secret_scan": secrets.op1_secret_scan, "op2_packing": packing.op2_packing, "op3_quality": quality.op3_quality, "op4_decontamination": decontaminate.op4_decontamination,
+    "op5_ann": ann.op5_ann, "op6_suffix_dedup": substrings.op6_suffix_dedup, "op7_toxicity": toxicity.op7_toxicity, "op8_lm": lm.op8_lm, "op9_minhash": neardup.op9_minhash,
+    "op10_langid": langid.op10_langid, "pipeline": pipeline.run,
 }
 
 
 def queries() -> dict:
-    from corpus_pipeline import run
-
-    return {"pipeline": run} | {name: getattr(import_module(f"{__package__}.{module}"), name) for name, module in _QUERIES.items()}
+    return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    from corpus_pipeline import ORACLE_SQL
-
-    from .decontaminate import OP4_SQL
-
-    return {"op4_decontamination": OP4_SQL} | ({"pipeline": ORACLE_SQL} if ORACLE_SQL else {})
+    return {"op4_decontamination": decontaminate.OP4_SQL} | ({"pipeline": pipeline.ORACLE_SQL} if pipeline.ORACLE_SQL else {})

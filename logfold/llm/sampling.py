@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 #: More labels than this are refused: their sizes come to the driver.
 MOST_LABELS = 1000
 #: Bounds of the whole sample: rows, and bytes of text of one label.
-MOST_ROWS, MOST_BYTES = 40_000, 64 << 20
+MOST_ROWS, MOST_BYTES = 20_000, 64 << 20
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, most: int, id_col: str, text_col: str, label_col: str, most_bytes: int = MOST_BYTES) -> DataFrame:

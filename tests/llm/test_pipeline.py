@@ -1,7 +1,7 @@
 import random
 import re
 
-import corpus_pipeline as cp
+from logfold.llm import pipeline as cp
 from logfold.llm import secrets, toxicity
 from tests.conftest import SF
 
