@@ -1,68 +1,5 @@
-"""The corpus pipeline: toxicity, near-duplicates, benchmark passages, secrets, then packing.
+"""The corpus pipeline: toxicity, near-duplicates, benchmark passages, secrets, then packing; see logfold.llm.pipeline."""
 
-Each stage takes (spark, docs, sf_dir), works on all that its predecessor kept, and returns the columns of documents
-(the last one the packed pieces). A stage's rows are written to the shared folder and read again by the next.
-Rows with a null text or id pass the filters: nothing in them can be toxic, copied or contaminated. Extra columns of
-the input are dropped. An empty input gives an empty result.
-"""
+from logfold.llm.pipeline import ORACLE_SQL, STAGES, run
 
-from __future__ import annotations
-
-from pyspark.sql import DataFrame, SparkSession, Window
-from pyspark.sql import functions as F
-
-from logfold.llm import decontaminate, neardup, packing, secrets, toxicity
-from logfold.llm.common import materialise, table
-
-COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
-#: The score from which a document is rejected as toxic.
-TOXIC = 0.7
-
-
-def toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rejects documents that the classifier finds toxic. It learns from the training labels as op7 does."""
-    docs = docs.select(COLUMNS)
-    model = toxicity.fit(docs, toxicity.training_labels(table(spark, sf_dir, "labels"), 3, 1))
-    return toxicity.score(docs, model, out_col="toxic_score").where(F.col("toxic_score") < TOXIC).select(COLUMNS)
-
-
-def near_duplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the document with the smallest id of each group of copies and near copies; of repeated rows of it, one."""
-    docs = docs.select(COLUMNS)
-    groups = materialise(neardup.near_duplicates(docs), "groups").where("doc_id is not null")
-    gone = groups.where("doc_id <> class_id").select("doc_id").distinct()
-    again = groups.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select("doc_id")
-    kept = docs.join(gone, "doc_id", "left_anti")
-    single = kept.join(again, "doc_id", "left_anti")
-    first = Window.partitionBy("doc_id").orderBy(F.col("text").isNull(), "text", "lang", "source", "n_chars")
-    repeated = kept.join(again, "doc_id", "left_semi").withColumn("turn", F.row_number().over(first)).where("turn = 1")
-    return single.select(COLUMNS).unionByName(repeated.select(COLUMNS))
-
-
-def benchmark_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rejects documents of which benchmark windows cover a twentieth of the words."""
-    docs = docs.select(COLUMNS)
-    found = decontaminate.decontaminate(docs, table(spark, sf_dir, "benchmark"))
-    return docs.join(found.where("contaminated").select("doc_id").distinct(), "doc_id", "left_anti").select(COLUMNS)
-
-
-def secret(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Replaces every secret by its kind, and n_chars by the new length; no document goes."""
-    clean = secrets.redact_secrets(docs.select(COLUMNS))
-    return clean.withColumn("n_chars", F.coalesce(F.length("text").cast("long"), "n_chars")).select(COLUMNS)
-
-
-def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return packing.pack(docs, packing.tokenizer_path())
-
-
-STAGES = [("toxicity", toxic), ("near_duplicates", near_duplicate), ("decontamination", benchmark_passages), ("secrets", secret), ("packing", packed)]
-#: SQL can't express the trained classifier, the compressor or the tokenizer; tests hold run() against a brute-force version.
-ORACLE_SQL = None
-
-
-def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
-    for name, stage in STAGES[:-1]:
-        docs = materialise(stage(spark, docs, sf_dir), name)
-    return STAGES[-1][1](spark, docs, sf_dir)
+__all__ = ["ORACLE_SQL", "STAGES", "run"]
