@@ -61,6 +61,13 @@ def test_texts_under_one_id_stay_apart(spark):
     assert [x for x in kept if x[0] == 1] in ([(1, a), (1, b)], [(1, b), (1, a)]) and [x for x in kept if x[0] > 1] == [(3, c)]
 
 
+def test_a_common_license_makes_no_copies_in_small_partitions(spark):
+    """Own texts under a license that all share stay, also where each task has one of them."""
+    line = " ".join(f"license{i}" for i in range(40))
+    docs = docs_of(spark, [(k, f"{line} {' '.join(f'd{k}w{i}' for i in range(3))}") for k in range(60)])
+    assert cp.near_duplicate(spark, docs.repartitionByRange(60, "doc_id"), SF).count() == 60
+
+
 def test_empty_pipeline(spark, tmp_path):
     for name in ("documents", "labels", "benchmark"):
         spark.read.parquet(f"{SF}/{name}.parquet").limit(0).write.parquet(f"{tmp_path}/{name}.parquet")
