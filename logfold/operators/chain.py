@@ -81,11 +81,13 @@ def refs_along(certs: DataFrame, keys: list[str] = KEYS) -> DataFrame:
 
 
 def recovered(certs: DataFrame) -> DataFrame:
-    """The newest link common to all valid replicas of each chain; invalid replicas are left out, and `survivor_only` says that one was left."""
+    """The newest link common to all valid replicas of each chain; invalid replicas are left out, and `survivor_only` says that one was left.
+
+    Where several links of the newest generation are common (a fork that every valid replica holds), the largest digest is the head."""
     ok = validity(certs).where("valid").select(*KEYS)
     n = ok.groupBy("repo_id").agg(F.count("*").alias("n_valid"))
     common = certs.join(ok, KEYS, "left_semi").groupBy("repo_id", "digest", "generation").agg(F.count_distinct("authority").alias("n")).join(n, "repo_id").where(F.col("n") == F.col("n_valid"))
-    return common.groupBy("repo_id").agg(F.max("generation").alias("generation"), F.max_by("digest", "generation").alias("head"), F.max("n_valid").alias("n_valid"), (F.max("n_valid") == 1).alias("survivor_only"))
+    return common.groupBy("repo_id").agg(F.max("generation").alias("generation"), F.max_by("digest", F.struct("generation", "digest")).alias("head"), F.max("n_valid").alias("n_valid"), (F.max("n_valid") == 1).alias("survivor_only"))
 
 
 def linked(entries: DataFrame) -> DataFrame:

@@ -187,6 +187,14 @@ def test_chains(spark):
     assert r["ok"].generation == 1 and not r["ok"].survivor_only and "lost" not in r
 
 
+def test_recovery_from_a_fork_takes_the_largest_digest(spark):
+    """Both links of a fork in the newest generation are common; which row comes first must not matter."""
+    forks = [("p", f"r{k}", g, d, p) for k in range(40) for g, d, p in ([(0, "a", None)] + [(1, d, "a") for d in ("zcb", "bzc")[:: 1 if k % 2 else -1]])]
+    df = spark.createDataFrame(forks, "authority string, repo_id string, generation long, digest string, previous string")
+    got = {(r.generation, r.head, r.n_valid, r.survivor_only) for r in chain.recovered(df).collect()}
+    assert got == {(1, "zcb", 1, True)}
+
+
 def test_chunks_of_bytes_and_text(spark):
     data = bytes(range(256)) * 100
     df = spark.createDataFrame([(1, bytearray(data)), (2, bytearray())], "id long, data binary")
