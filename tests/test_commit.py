@@ -140,6 +140,31 @@ def test_scan_log_files_takes_every_update(spark, duck):
     assert {(r.repo_id, r.status): r["count"] for r in got} == {(t, "ok"): n for t, n in want}
 
 
+@pytest.mark.parametrize(("query", "scan"), [("scan_entry_metadata", "scan_entry_details")])
+def test_scans_hold_a_bounded_number_of_archives(spark, duck, monkeypatch, query, scan):
+    """At most SLICE archives, a block each, are on disk at a time, all updates are scanned with a manifest line each, and no log stays."""
+    from logfold.plans import ORACLES, QUERIES
+    from tests.conftest import same_rows
+
+    real, held, listed = getattr(files, scan), [], []
+
+    def counted(session, root):
+        archives = files.listing(session, root, "*.wal").collect()
+        held.append(len(archives))
+        listed.extend(e.file for m in files.scan_manifests(session, root).collect() for e in m.entries)
+        assert max(a.bytes for a in archives) <= 4096
+        return real(session, root)
+
+    before = set(hadoop.names(spark, shared_dir(spark)))
+    monkeypatch.setattr(files, "SLICE", 300, raising=False)
+    monkeypatch.setattr(files, scan, counted)
+    got = QUERIES[query](spark, SF)
+    same_rows(got, duck.sql(ORACLES[query]))
+    n = got.count()
+    assert max(held) <= 300 and sum(held) == n and sorted(listed) == sorted(r.file for r in got.collect())
+    assert set(hadoop.names(spark, shared_dir(spark))) - before == {x for x in hadoop.names(spark, shared_dir(spark)) if x.startswith("slices-")} - before
+
+
 def test_manifest_and_certificate_list_every_entry(spark):
     u = spark.createDataFrame([(r, i, "refs/heads/x", "0" * 40, "a" * 40) for r in "ab" for i in range(1, 13)], "repo_id string, generation long, ref string, old_oid string, new_oid string")
     root = files.write_sample(u, spark)
