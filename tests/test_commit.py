@@ -140,7 +140,7 @@ def test_scan_log_files_takes_every_update(spark, duck):
     assert {(r.repo_id, r.status): r["count"] for r in got} == {(t, "ok"): n for t, n in want}
 
 
-@pytest.mark.parametrize(("query", "scan"), [("scan_entry_metadata", "scan_entry_details")])
+@pytest.mark.parametrize(("query", "scan"), [("scan_log_files", "scan_entries"), ("scan_entry_metadata", "scan_entry_details")])
 def test_scans_hold_a_bounded_number_of_archives(spark, duck, monkeypatch, query, scan):
     """At most SLICE archives, a block each, are on disk at a time, all updates are scanned with a manifest line each, and no log stays."""
     from logfold.plans import ORACLES, QUERIES
