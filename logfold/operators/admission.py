@@ -61,6 +61,21 @@ def reference_step(state: Column) -> Column:
 
 ALONE = -1
 ADMITTED = "repo_id string, batch long, tx long, generation long, status string"
+ORDER = ("arrival", "tx", "ordinal")
+
+
+def _status(refs: dict[int, int], moves: list[tuple[int, int, int]]) -> str:
+    """Outcome of a transaction (ref, old, new as numbers of _coded) on the live refs: applied already, else every old id must hold."""
+    if all(refs.get(ref, 0) == new for ref, _, new in moves):
+        return "applied"
+    return "conflict" if any(refs.get(ref, 0) != old for ref, old, _ in moves) else "accepted"
+
+
+def _move(refs: dict[int, int], ref: int, new: int) -> None:
+    if new:
+        refs[ref] = new
+    else:
+        refs.pop(ref, None)
 
 
 class Refs:
@@ -70,36 +85,25 @@ class Refs:
         self.repo, self.refs, self.generation = repo, {}, 0
         self.batch, self.undo, self.open, self.failed = None, [], [], False
 
-    def settle(self, batch: int, tx: int, rows: list[tuple[str, str, str]]) -> list[tuple]:
+    def settle(self, batch: int, tx: int, moves: list[tuple[int, int, int]]) -> list[tuple]:
         """Takes the next transaction; returns the outcomes of the batch before, if this one opens another. Batch ALONE is a batch for each transaction."""
         out = self.close() if batch != self.batch or batch == ALONE else []
         self.batch = batch
-        if self.failed:
-            status = "rolled_back"
-        elif all((ref not in self.refs) if not new.strip("0") else self.refs.get(ref) == new for ref, _, new in rows):
-            status = "applied"
-        elif any(self.refs.get(ref, "0" * len(old)) != old for ref, old, _ in rows):
-            status = "conflict"
+        status = "rolled_back" if self.failed else _status(self.refs, moves)
+        if status == "conflict":
             self._roll_back()
-        else:
-            status = "accepted"
+        elif status == "accepted":
             self.generation += 1
-            for ref, _, new in rows:
-                self.undo.append((ref, self.refs.get(ref)))
-                if new.strip("0"):
-                    self.refs[ref] = new
-                else:
-                    self.refs.pop(ref, None)
+            for ref, _, new in moves:
+                self.undo.append((ref, self.refs.get(ref, 0)))
+                _move(self.refs, ref, new)
         self.open.append((tx, self.generation, status))
         return out
 
     def _roll_back(self) -> None:
         """Puts back what the batch has changed; nothing of it shows."""
         for ref, before in reversed(self.undo):
-            if before is None:
-                self.refs.pop(ref, None)
-            else:
-                self.refs[ref] = before
+            _move(self.refs, ref, before)
         self.generation -= sum(s == "accepted" for _, _, s in self.open)
         self.open = [(tx, self.generation, "rolled_back") for tx, _, _ in self.open]
         self.failed = True
@@ -118,7 +122,7 @@ def _admit(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
     for frame in frames:
         out = []
-        for repo, batch, tx, ref, old, new in zip(*(frame[c] for c in ("repo_id", "batch", "tx", "ref", "old_oid", "new_oid")), strict=True):
+        for repo, batch, tx, ref, old, new in zip(*(frame[c].tolist() for c in ("repo_id", "batch", "tx", "_ref", "_old", "_new")), strict=True):
             if (repo, batch, tx) != at:
                 out += settled()
                 held = []
@@ -133,18 +137,33 @@ def _admit(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame(settled() + log.close(), columns=["repo_id", "batch", "tx", "generation", "status"])
 
 
-def batch_outcomes(updates: DataFrame, order: tuple = ("arrival", "tx", "ordinal")) -> DataFrame:
+def _coded(updates: DataFrame, columns: list[str]) -> DataFrame:
+    """columns of updates with _ref, _old and _new, numbers in place of the texts: refs have different numbers, ids of one ref
+    have the same number if they are equal, and 0 stands for zeros, whatever their length.
+
+    The numbers are ranks and not hashes, so comparing them is exact. They come from sorts by ref, and what an ordered
+    pass has to read and hold is a few bytes a row, however long names and ids are."""
+    alike = Window.partitionBy("repo_id", "ref").orderBy("_oid")
+    row = Window.partitionBy("repo_id", "ref").orderBy("_row", "_side")
+    rows = updates.select(*columns, "ref", "old_oid", "new_oid").repartition("repo_id", "ref").withColumn("_row", F.monotonically_increasing_id())
+    sides = rows.select(*columns, "ref", "_row", F.posexplode(F.array("old_oid", "new_oid")).alias("_side", "_oid"))
+    sides = sides.withColumn("_ref", F.first("_row").over(alike)).withColumn("_new", F.when(is_zero(F.col("_oid")), 0).otherwise(F.dense_rank().over(alike)))
+    return sides.withColumn("_old", F.lag("_new").over(row)).where("_side = 1").select(*columns, "_ref", "_old", "_new")
+
+
+def batch_outcomes(updates: DataFrame, order: tuple = ORDER) -> DataFrame:
     """Outcome of each transaction of updates (with batch), repositories side by side and each one in order.
 
     In turn: applied already, else every old id must hold, else conflict. A conflict fails its whole batch: what the
     batch changed before is put back, and its other transactions are rolled back. The order inside a repository is the
-    semantics, so its rows stream through one task in Arrow batches, sorted by the shuffle; only the live refs and the
-    open batch are held. Repositories are never null."""
-    rows = updates.repartition("repo_id").sortWithinPartitions("repo_id", "batch", *order).select("repo_id", "batch", "tx", "ref", "old_oid", "new_oid")
+    semantics, so its rows stream through one task in Arrow batches, sorted by the shuffle, with numbers in place of refs
+    and ids; only the live refs and the open batch are held. Repositories are never null."""
+    rows = _coded(updates, list(dict.fromkeys(["repo_id", "batch", *order, "tx"])))
+    rows = rows.repartition("repo_id").sortWithinPartitions("repo_id", "batch", *order).select("repo_id", "batch", "tx", "_ref", "_old", "_new")
     return rows.mapInPandas(_admit, ADMITTED)
 
 
-def ordered_admission(updates: DataFrame, order: tuple = ("arrival", "tx", "ordinal")) -> DataFrame:
+def ordered_admission(updates: DataFrame, order: tuple = ORDER) -> DataFrame:
     """Outcome of each transaction (repo_id, tx, generation, status) where each is a batch of its own."""
     return batch_outcomes(updates.withColumn("batch", F.lit(ALONE).cast("long")), order).drop("batch")
 

@@ -174,6 +174,30 @@ def test_failed_batches_leave_nothing(spark):
     assert all(by[repo, b].failed == any(w[:2] == (repo, b) and w[-1] == "conflict" for w in want) for repo, b, *_ in want)
 
 
+def test_the_ordered_pass_reads_numbers_in_place_of_ids(spark, monkeypatch):
+    """However long refs and ids are, a row of the pass takes a few bytes; the outcomes are those of the texts."""
+    real = admission._admit
+
+    def narrow(frames):
+        def checked():
+            for f in frames:
+                if f.memory_usage(deep=True).sum() > 200 * len(f) + 1000:
+                    raise ValueError("wide rows")
+                yield f
+
+        yield from real(checked())
+
+    monkeypatch.setattr(admission, "_admit", narrow)
+    g = random.Random(8)
+    pick = lambda: g.choice(["0" * 300, "0" * 7, "a" * 300, "a" * 299 + "b", "c"])
+    rows = [("a", tx // 3, tx, 0, g.choice("xyz") * 300, pick(), pick(), tx) for tx in range(400)]
+    plain = lambda v: v if v.strip("0") else Z
+    want = {("a", *x) for x in loop_batches([(b, tx, [(r, plain(o), plain(n))]) for _, b, tx, _, r, o, n, _ in rows])}
+    df = spark.createDataFrame(rows, "repo_id string, batch long, tx long, ordinal int, ref string, old_oid string, new_oid string, arrival long")
+    got = {tuple(r) for r in admission.batch_outcomes(df).collect()}
+    assert got == want and {x[-1] for x in want} == {"applied", "conflict", "accepted", "rolled_back"}
+
+
 def test_chains(spark):
     rows = [("p", "ok", g, f"d{g}", f"d{g - 1}" if g else None) for g in range(300)]
     rows += [("p", "lost", 0, "a", None), ("p", "lost", 2, "c", "b"), ("p", "cycle", 0, "r", None), ("p", "cycle", 1, "x", "y"), ("p", "cycle", 2, "y", "x")]
