@@ -3,12 +3,17 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
+from operator import and_
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from logfold.functions.ident import absent_as_zero, is_zero
+from logfold.operators.lineage import cut
+from logfold.operators.state import running
 
 
 def chain_breaks(updates: DataFrame) -> DataFrame:
@@ -59,7 +64,6 @@ def reference_step(state: Column) -> Column:
     return F.when(state == "prepared", "commit").when(state == "aborted", "abort").when(state == "committed", "finalize").otherwise("error")
 
 
-ALONE = -1
 ADMITTED = "repo_id string, batch long, tx long, generation long, status string"
 ORDER = ("arrival", "tx", "ordinal")
 
@@ -86,8 +90,8 @@ class Refs:
         self.batch, self.undo, self.open, self.failed = None, [], [], False
 
     def settle(self, batch: int, tx: int, moves: list[tuple[int, int, int]]) -> list[tuple]:
-        """Takes the next transaction; returns the outcomes of the batch before, if this one opens another. Batch ALONE is a batch for each transaction."""
-        out = self.close() if batch != self.batch or batch == ALONE else []
+        """Takes the next transaction; returns the outcomes of the batch before, if this one opens another."""
+        out = self.close() if batch != self.batch else []
         self.batch = batch
         status = "rolled_back" if self.failed else _status(self.refs, moves)
         if status == "conflict":
@@ -163,9 +167,52 @@ def batch_outcomes(updates: DataFrame, order: tuple = ORDER) -> DataFrame:
     return rows.mapInPandas(_admit, ADMITTED)
 
 
+def _alone(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """repo_id, the transaction's columns and status, from rows that begin with repo_id, _part and those columns and end with _ref, _old, _new."""
+    part, at, refs, held = None, None, {}, []
+
+    def settled() -> str:
+        status = _status(refs, held)
+        for ref, _, new in held if status == "accepted" else ():
+            _move(refs, ref, new)
+        return status
+
+    schema = None
+    for b in batches:
+        schema = pa.schema([b.schema.field(0), *(b.schema.field(k) for k in range(2, b.num_columns - 3)), ("status", pa.string())])
+        out = []
+        for *key, ref, old, new in zip(*(c.to_pylist() for c in b.columns), strict=True):
+            if key != at:
+                if at:
+                    out.append((at[0], *at[2:], settled()))
+                if key[:2] != part:
+                    part, refs = key[:2], {}
+                at, held = key, []
+            held.append((ref, old, new))
+        if out:
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True), schema, strict=True)], schema=schema)
+    if at:
+        yield pa.RecordBatch.from_arrays([pa.array([v], f.type) for v, f in zip((at[0], *at[2:], settled()), schema, strict=True)], schema=schema)
+
+
 def ordered_admission(updates: DataFrame, order: tuple = ORDER) -> DataFrame:
-    """Outcome of each transaction (repo_id, tx, generation, status) where each is a batch of its own."""
-    return batch_outcomes(updates.withColumn("batch", F.lit(ALONE).cast("long")), order).drop("batch")
+    """Outcome of each transaction (repo_id, tx, generation, status) where each is a batch of its own: rows alike in all of order but its last column, the row's place.
+
+    An outcome depends only on what came before on the transaction's own refs. So each ref is a stream of its own, and
+    only refs that share transactions with others go together, as one stream a repository. Generations, which
+    count a repository's accepted transactions, come from sums in buckets of a day."""
+    tx = list(dict.fromkeys([*order[:-1], "tx"]))
+    spread = updates.groupBy("repo_id", *tx).agg(F.min("ref").alias("_least"), F.max("ref").alias("_most")).where("_least <> _most").drop("_least", "_most")
+    spread = spread.select(*(F.col(c).alias(f"_{c}") for c in spread.columns))
+    same = reduce(and_, (F.col(c).eqNullSafe(F.col(f"_{c}")) for c in ["repo_id", *tx]))
+    shared = updates.join(spread, same, "left_semi").select("repo_id", "ref").distinct().withColumn("_shared", F.lit(True))
+    rows = _coded(updates.join(shared, ["repo_id", "ref"], "left"), list(dict.fromkeys(["repo_id", *tx, order[-1], "_shared"])))
+    rows = rows.withColumn("_part", F.when(F.col("_shared"), -1).otherwise(F.col("_ref")))
+    rows = rows.repartition("repo_id", "_part").sortWithinPartitions("repo_id", "_part", *tx, order[-1]).select("repo_id", "_part", *tx, "_ref", "_old", "_new")
+    kinds = ", ".join(f"{c} {t}" for c, t in rows.select("repo_id", *tx).dtypes)
+    outcomes = cut(rows.mapInArrow(_alone, f"{kinds}, status string"), "outcomes")
+    day = F.coalesce(F.floor(F.col(tx[0]) / 86_400_000_000), F.lit(-(2**62)))
+    return running(outcomes, ["repo_id"], tx, day, F.col("status") == "accepted", "generation").select("repo_id", "tx", "generation", "status")
 
 
 def batch_admission(outcomes: DataFrame) -> DataFrame:

@@ -198,6 +198,36 @@ def test_the_ordered_pass_reads_numbers_in_place_of_ids(spark, monkeypatch):
     assert got == want and {x[-1] for x in want} == {"applied", "conflict", "accepted", "rolled_back"}
 
 
+def test_ordered_admission_deals_out_a_repository(spark, monkeypatch):
+    """Refs without a common transaction are streams of their own: no task gets most rows of the only repository."""
+    real = admission._alone
+
+    def bounded(batches):
+        n = 0
+        for b in batches:
+            n += b.num_rows
+            if n > 450:
+                raise ValueError("a task reads most rows")
+            yield from real(iter([b]))
+
+    monkeypatch.setattr(admission, "_alone", bounded)
+    g, day = random.Random(9), 86_400_000_000
+    txs = []
+    for tx in range(600):
+        refs = g.sample(["m0", "m1", "m2"], 2) if tx % 20 == 0 else [f"x{g.randrange(60)}"]
+        txs.append((tx, [(r, g.choice([Z, oid("1"), oid("2")]), g.choice([Z, oid("1"), oid("2")])) for r in refs]))
+    rows = [("a", tx, i, r, o, n, (tx // 7) * day // 3) for tx, moves in txs for i, (r, o, n) in enumerate(moves)]
+    rows = [(*r[:6], None if r[1] < 5 else r[6]) for r in rows]
+    g.shuffle(rows)
+    df = spark.createDataFrame(rows, "repo_id string, tx long, ordinal int, ref string, old_oid string, new_oid string, arrival long")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        got = {r.tx: (r.generation, r.status) for r in admission.ordered_admission(df).collect()}
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
+    assert got == loop_admission(txs) and {s for _, s in got.values()} == {"applied", "conflict", "accepted"}
+
+
 def test_chains(spark):
     rows = [("p", "ok", g, f"d{g}", f"d{g - 1}" if g else None) for g in range(300)]
     rows += [("p", "lost", 0, "a", None), ("p", "lost", 2, "c", "b"), ("p", "cycle", 0, "r", None), ("p", "cycle", 1, "x", "y"), ("p", "cycle", 2, "y", "x")]
