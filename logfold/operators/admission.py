@@ -66,6 +66,8 @@ def reference_step(state: Column) -> Column:
 
 ADMITTED = "repo_id string, batch long, tx long, generation long, status string"
 ORDER = ("arrival", "tx", "ordinal")
+#: Partitions a core of the sorts by ref, which hold every row twice; a share of the rows that fits beside others.
+PIECES = 16
 
 
 def _status(refs: dict[int, int], moves: list[tuple[int, int, int]]) -> str:
@@ -149,7 +151,8 @@ def _coded(updates: DataFrame, columns: list[str]) -> DataFrame:
     pass has to read and hold is a few bytes a row, however long names and ids are."""
     alike = Window.partitionBy("repo_id", "ref").orderBy("_oid")
     row = Window.partitionBy("repo_id", "ref").orderBy("_row", "_side")
-    rows = updates.select(*columns, "ref", "old_oid", "new_oid").repartition("repo_id", "ref").withColumn("_row", F.monotonically_increasing_id())
+    pieces = PIECES * updates.sparkSession.sparkContext.defaultParallelism
+    rows = updates.select(*columns, "ref", "old_oid", "new_oid").repartition(pieces, "repo_id", "ref").withColumn("_row", F.monotonically_increasing_id())
     sides = rows.select(*columns, "ref", "_row", F.posexplode(F.array("old_oid", "new_oid")).alias("_side", "_oid"))
     sides = sides.withColumn("_ref", F.first("_row").over(alike)).withColumn("_new", F.when(is_zero(F.col("_oid")), 0).otherwise(F.dense_rank().over(alike)))
     return sides.withColumn("_old", F.lag("_new").over(row)).where("_side = 1").select(*columns, "_ref", "_old", "_new")
